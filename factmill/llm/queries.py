@@ -25,6 +25,24 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _held_out(doc_id: str) -> F.Column:
+    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str):
+    """The classifier of the documents whose label isn't held out."""
+    from factmill.llm.toxicity import train
+
+    return train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where(~_held_out("doc_id")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factmill.llm.toxicity import score_documents
+
+    scored = score_documents(_table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", _held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,7 +51,7 @@ def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op9_pack_documents)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op6_toxicity, op9_pack_documents)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

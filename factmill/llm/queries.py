@@ -43,6 +43,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factmill.llm.jaccard import similar_groups
+
+    return similar_groups(_table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,7 +70,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op6_toxicity, op9_pack_documents, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op6_toxicity, op7_jaccard_join, op9_pack_documents, op10_suffix_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

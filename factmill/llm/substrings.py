@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factmill.llm import textarrays as ta
+from factmill.llm.chunks import chunked, opened
 from factmill.llm.scratch import arrow_rows, release, shuffle_partitions, written
 
 #: Bytes of a piece whose hash can be an anchor: shorter ones make fewer anchors, longer ones fewer chance matches.
@@ -41,27 +41,11 @@ _LAST = np.iinfo(np.int64).max
 _SEPARATOR = 0xFF  # no byte of UTF-8
 
 
-def _chunks(id_col: str, text_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
-            _, offsets = ta.flat(batch.column(batch.schema.get_field_index(text_col)))
-            for a, b in ta.blocks(offsets):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
-                    out.write_batch(batch.slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([int(offsets[b] - offsets[a])]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "n_bytes", "rows"])
-                number += 1
-
-    return run
-
-
 class Chunk:
     """Texts and the anchors of all their strings of `length` bytes."""
 
     def __init__(self, rows: bytes, id_col: str, text_col: str, length: int, buckets: int):
-        self.batch = pa.ipc.open_stream(rows).read_next_batch()
+        self.batch = opened(rows)
         self.raw, self.offsets = ta.flat(self.batch.column(self.batch.schema.get_field_index(text_col)))
         ids = self.batch.column(self.batch.schema.get_field_index(id_col)).cast(pa.int64())
         self.ids = ids.fill_null(_LAST).to_numpy(zero_copy_only=False)
@@ -310,7 +294,7 @@ def find_repeats(documents: DataFrame, finish, schema, id_col: str = "doc_id", t
         raise ValueError("length must be 8 at least")
     spark = documents.sparkSession
     arrow_rows(spark)
-    chunks = written(documents.mapInArrow(_chunks(id_col, text_col), "chunk long, n_bytes long, rows binary"), "chunks", "none")
+    chunks = chunked(documents, text_col)
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     parts = max(shuffle_partitions(spark), -(-total // PARTITION_BYTES))
     buckets = 4 * parts

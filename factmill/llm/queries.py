@@ -25,6 +25,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factmill.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), lambda id_: id_ % 100 == 0)
+
+
 def _held_out(doc_id: str) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
 
@@ -70,7 +76,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op6_toxicity, op7_jaccard_join, op9_pack_documents, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op5_nearest, op6_toxicity, op7_jaccard_join, op9_pack_documents, op10_suffix_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

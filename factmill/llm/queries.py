@@ -10,6 +10,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factmill.llm.lmscore import score_documents, train
+
+    documents = _table(spark, sf_dir, "documents")
+    curated = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return score_documents(documents, train(documents, curated))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factmill.llm.decontaminate import benchmark_hits
 
@@ -109,7 +117,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_chat_format, op4_token_counts, op5_nearest, op6_toxicity, op7_jaccard_join, op8_line_dedup, op9_pack_documents, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_decontaminate, op3_chat_format, op4_token_counts, op5_nearest, op6_toxicity, op7_jaccard_join, op8_line_dedup, op9_pack_documents, op10_suffix_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -15,7 +15,7 @@ from factmill.llm.scratch import arrow_rows, written
 def _chunks(text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 20
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
         for batch in batches:
             _, offsets = ta.flat(batch.column(batch.schema.get_field_index(text_col)))
             for a, b in ta.blocks(offsets):
@@ -31,7 +31,7 @@ def _chunks(text_col: str):
 def chunked(documents: DataFrame, text_col: str) -> DataFrame:
     """A written table with a row per chunk: its number, its bytes of text, and its rows in Arrow's compressed form.
 
-    A chunk has some 2 MB of text, or one longer text, and less than 2**20 rows.
+    A chunk has some 1 MB of text, or one longer text, and less than 2**20 rows.
     """
     arrow_rows(documents.sparkSession)
     return written(documents.mapInArrow(_chunks(text_col), "chunk long, n_bytes long, rows binary"), "chunks", "none")

@@ -36,7 +36,7 @@ from factmill.llm.scratch import arrow_rows, release, shuffle_partitions, writte
 #: Bytes of a piece whose hash can be an anchor: shorter ones make fewer anchors, longer ones fewer chance matches.
 PIECE = 20
 #: Text of a partition of the exchanges, and of a transform.
-PARTITION_BYTES, SHARD_BYTES = 64 << 20, 1 << 21
+PARTITION_BYTES, SHARD_BYTES = 64 << 20, 1 << 20
 _LAST = np.iinfo(np.int64).max
 _SEPARATOR = 0xFF  # no byte of UTF-8
 

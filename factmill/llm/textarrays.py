@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once: some 15 arrays of 8 bytes a character live beside them.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15

@@ -130,7 +130,7 @@ def prior_period(end: Column, kind: Column) -> Column:
 def content_hash(text: Column, payload: Column | None = None) -> Column:
     """A digest of the text with its white space folded, and of a payload already in canonical form."""
     folded = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.sha2(F.concat(folded, F.lit("\u0000"), F.coalesce(payload, F.lit(""))), 256)
+    return F.sha2(F.concat(folded, F.lit("\u0000"), F.lit("") if payload is None else F.coalesce(payload, F.lit(""))), 256)
 
 
 def coordinates_id(*parts: Column) -> Column:

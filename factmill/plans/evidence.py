@@ -292,7 +292,7 @@ p AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegme
     "keyword_filter": "SELECT lang, count(*) AS n FROM documents WHERE contains(text, 'license') OR contains(text, 'token = ') OR contains(text, 'thhe') GROUP BY 1",
     "amount_parse": """WITH p AS (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(12,2)) AS price FROM part),
 t AS (SELECT p_partkey, price, CASE p_partkey % 4 WHEN 0 THEN '(' || price || ')' WHEN 1 THEN '1,' || lpad(CAST(floor(price) AS BIGINT)::VARCHAR, 4, '0') WHEN 2 THEN price || '%' ELSE price::VARCHAR END AS text FROM p)
-SELECT p_partkey, text, CASE p_partkey % 4 WHEN 0 THEN -CAST(price AS DOUBLE) WHEN 1 THEN CAST(replace(text, ',', '') AS DOUBLE) WHEN 2 THEN NULL ELSE CAST(price AS DOUBLE) END AS amount, CASE WHEN p_partkey % 4 = 2 THEN 1.0 WHEN p_partkey % 4 = 1 THEN 1.0 ELSE 0.01 END AS step FROM t""",
+SELECT p_partkey, text, CASE p_partkey % 4 WHEN 0 THEN -CAST(price AS DOUBLE) WHEN 1 THEN CAST(replace(text, ',', '') AS DOUBLE) WHEN 2 THEN NULL ELSE CAST(price AS DOUBLE) END AS amount, CAST(CASE WHEN p_partkey % 4 IN (1, 2) THEN 1.0 ELSE 0.01 END AS DOUBLE) AS step FROM t""",
     "header_periods": """WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 5 AS k FROM orders),
 p AS (SELECT o_orderkey, CASE k WHEN 0 THEN year(d) || '-' || month(d) || '-' || day(d) WHEN 1 THEN year(d) || '年' || month(d) || '月' WHEN 2 THEN year(d) || 'Q' || quarter(d) WHEN 3 THEN year(d) || 'H1' ELSE 'FY ' || year(d) END AS text,
 CASE k WHEN 0 THEN d WHEN 1 THEN last_day(d) WHEN 2 THEN last_day(make_date(year(d), quarter(d) * 3, 1)) WHEN 3 THEN make_date(year(d), 6, 30) ELSE make_date(year(d), 12, 31) END AS e FROM t)

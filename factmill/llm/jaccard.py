@@ -7,10 +7,11 @@ of the D + 1 or more pieces that hold anything, one at least is equal (pigeonhol
 their size band, and those near a band's upper end under the next band's as well. Candidates are then verified on
 whole shingle sets. Sets are compared by 64-bit shingle hashes.
 
-Groups of equal pieces are never expanded into all pairs. A first round links each member to the group's first member.
-A document lives on only if so many of its pieces are shared as any similar partner would share. A second round deals
-the pieces of live documents again and looks at members of a group whose components still differ, so a link that the
-first round's star misses is found. No size, partner count or group is capped.
+Groups of equal pieces are never expanded into rows of pairs. A first round links each member to the group's first
+member. A document lives on only if so many of its pieces are shared as any similar partner would share. In a second round
+live documents with a common first member, whose components still differ, are compared by bit sketches: each hash turns
+one bit, so the Hamming distance of two sketches is at most the sets' symmetric difference. Pairs within the bound are
+verified, so a link that the first round's stars miss is found. No size, partner count or group is capped.
 
 Whether P suffices depends on hash values only: the chance that a document fills fewer than D + 1 pieces is below
 1e-8 for the smallest sets and vanishes for larger ones.
@@ -36,6 +37,8 @@ from factmill.llm.scratch import arrow_rows, release, shuffle_partitions, writte
 
 #: Members that are verified against one copy of their group's first member.
 MEMBERS = 400
+#: Members of a first member whose sketches are compared in one task.
+BLOCK = 4096
 #: Text of a partition of the exchanges.
 PARTITION_BYTES = 64 << 20
 #: Low bits of a document's reference are its place in its chunk.
@@ -141,54 +144,43 @@ class Chunk:
         return self.sets[np.repeat(keep, self.sizes)], np.where(keep, self.sizes, 0)
 
 
-def _deal(chunk: int, parts: Iterator, buckets: int, extra: np.ndarray | None = None) -> pa.RecordBatch | None:
+def _deal(chunk: int, parts: Iterator, buckets: int) -> pa.RecordBatch | None:
     """Keys to the buckets that own them: each entry is a row's place, the band flag, and six bytes of the key."""
-    keys, who, need = [], [], []
-    for up, key, row, least in parts:
+    keys, who = [], []
+    for up, key, row, _ in parts:
         keys.append(key)
         who.append(row * 2 + up)
-        need.append(least[row])
     if not keys:
         return None
-    key, who, need = np.concatenate(keys), np.concatenate(who), np.concatenate(need)
+    key, who = np.concatenate(keys), np.concatenate(who)
     bucket = ((key >> ta.U64(32)) * ta.U64(buckets) >> ta.U64(32)).astype(np.int64)
     order = np.lexsort((who, bucket))
-    key, who, need, bucket = key[order], who[order], need[order], bucket[order]
+    key, who, bucket = key[order], who[order], bucket[order]
     first = np.searchsorted(bucket, np.arange(buckets + 1))
     some = np.flatnonzero(np.diff(first)).tolist()
     columns = [pa.array(some, pa.int64()), pa.array([chunk] * len(some), pa.int64())]
     columns.append(pa.array([ta.pack(key[first[k] : first[k + 1]], 6) for k in some], pa.binary()))
     columns.append(pa.array([who[first[k] : first[k + 1]].astype("<u4").tobytes() for k in some], pa.binary()))
-    names = ["bucket", "chunk", "keys", "who"]
-    if extra is not None:  # a label and the pieces that a partner must share
-        more = np.stack((extra[who >> 1], need), 1).astype("<i8")
-        columns.append(pa.array([more[first[k] : first[k + 1]].tobytes() for k in some], pa.binary()))
-        names.append("more")
-    return pa.RecordBatch.from_arrays(columns, names)
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "keys", "who"])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], more: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     """The groups of two or more entries of a partition: keys in order, the entries (reference * 2 + band flag)."""
-    keys, who, extra = [], [], []
+    keys, who = [], []
     for batch in batches:
         for k in range(batch.num_rows):
-            if batch.column(2)[k].as_py() is None:
-                continue
-            keys.append(ta.unpack(batch.column(2)[k].as_py(), 6) | ta.U64((batch.column(0)[k].as_py() & 0xFFFF) << 48))
-            who.append(np.frombuffer(batch.column(3)[k].as_py(), "<u4").astype(np.int64) + (batch.column(1)[k].as_py() << (PLACE + 1)))
-            if more:
-                extra.append(np.frombuffer(batch.column(4)[k].as_py(), "<i8").reshape(-1, 2))
+            if batch.column(2)[k].is_valid:
+                keys.append(ta.unpack(batch.column(2)[k].as_py(), 6) | ta.U64((batch.column(0)[k].as_py() & 0xFFFF) << 48))
+                who.append(np.frombuffer(batch.column(3)[k].as_py(), "<u4").astype(np.int64) + (batch.column(1)[k].as_py() << (PLACE + 1)))
     if not keys:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros((0, 2), np.int64)
+        return np.zeros(0, ta.U64), np.zeros(0, np.int64)
     key, entry = np.concatenate(keys), np.concatenate(who)
     del keys, who
     order = np.argsort(key)
     sorted_ = key[order]
     same = sorted_[1:] == sorted_[:-1]
     keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    order = order[keep]
-    return sorted_[keep], entry[order], np.concatenate(extra)[order] if more else None
+    return sorted_[keep], entry[order[keep]]
 
 
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +199,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     info.append((batch.column(1)[k].as_py(), None, batch.column(4)[k].as_py()))
             yield batch
 
-    key, entry, _ = _gathered(told(), False)
+    key, entry = _gathered(told())
     if len(key):
         first, size = _groups(key)
         lead = np.repeat(np.minimum.reduceat(entry, first), size) >> 1
@@ -304,6 +296,92 @@ def _verified(pairs: DataFrame, chunks: DataFrame, text_col: str, parts: int, sh
     return sent.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a long, b long")
 
 
+def _most(a, b, percent: int):
+    """The largest symmetric difference of similar sets of these sizes."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
+def parity(one: np.ndarray, percent: int) -> np.ndarray:
+    """A set's bit sketch: each hash turns one of 2**k bits, at least 16 for each element in which a similar set may differ."""
+    bits = 1 << max(8, (16 * int(_most(len(one), 100 * len(one) // percent, percent))).bit_length())
+    turned = np.bincount((one & ta.U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(turned.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def _close(sketch_: list[np.ndarray], label: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Members whose labels differ and whose sketches don't rule a link out. Side 0 meets side 1, side 2 all."""
+    width = np.array([len(x) for x in sketch_])
+    for w in np.unique(width).tolist():
+        mine = np.flatnonzero(width == w)
+        x = np.stack([sketch_[k] for k in mine])
+        near = np.flatnonzero((width == w) | (width == 2 * w))
+        y = np.stack([sketch_[k] if width[k] == w else sketch_[k][:w] ^ sketch_[k][w:] for k in near])
+        for k, i in enumerate(mine.tolist()):
+            fits = (label[near] != label[i]) & ((width[near] > w) | (near > i)) & ((side[near] != side[i]) | (side[i] == 2))
+            fits &= 100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i])
+            some = np.flatnonzero(fits)
+            if len(some):
+                far = np.bitwise_count(y[some] ^ x[k]).sum(1, dtype=np.int64)
+                other = near[some[far <= _most(n[near[some]], n[i], percent)]]
+                if len(other):
+                    yield np.full(len(other), i), other
+
+
+def _crossing(left: DataFrame, live: DataFrame, roots: DataFrame, chunks: DataFrame, parts: int, how: tuple, percent: int) -> DataFrame:
+    """The second round. Similar documents share a piece, so both met that piece's first member: of the members of each
+    first member, those pairs whose components still differ and whose parity sketches are close enough to verify.
+
+    A group is cut into blocks of BLOCK members, and blocks meet in tasks of their own.
+    """
+    id_col, text_col, shingle = how
+    members = left.unionAll(live.join(left.select(F.col("a").alias("ref")).distinct(), "ref", "left_semi").select(F.col("ref").alias("a"), F.col("ref").alias("b"))).distinct()
+    labelled = members.join(roots.withColumnRenamed("node", "b"), "b", "left").select("a", F.col("b").alias("ref"), F.coalesce("root", "b").alias("label"))
+    open_ = labelled.groupBy("a").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    blocked = labelled.join(open_.select("a", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "a").withColumn("block", F.pmod(F.xxhash64("ref"), "blocks").cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"), F.when(o == F.col("block"), 2).when(F.col("block") < o, 0).otherwise(1).alias("side")))
+    asked = blocked.select("a", "ref", "label", F.explode(met).alias("m")).select("a", "ref", "label", "m.*")
+    lists = asked.groupBy(F.shiftright("ref", PLACE).alias("chunk")).agg(F.collect_list(F.struct((F.col("ref") % (1 << PLACE)).alias("place"), "a", "label", "i", "j", "side")).alias("asked"))
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, rows, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                c = Chunk(rows.as_buffer(), id_col, text_col, shingle)
+                end = np.cumsum(c.sizes)
+                made: dict[int, bytes] = {}
+                for k in range(0, len(asked), 1024):
+                    part = asked[k : k + 1024]
+                    for x in part:
+                        if (q := x["place"]) not in made:
+                            made[q] = parity(c.sets[end[q] - c.sizes[q] : end[q]], percent).tobytes()
+                    columns = [pa.array([x[f] for x in part], t) for f, t in (("a", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("label", pa.int64()))]
+                    columns += [pa.array([(number << PLACE) + x["place"] for x in part], pa.int64()), pa.array([int(c.sizes[x["place"]]) for x in part], pa.int64()), pa.array([made[x["place"]] for x in part], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["a", "i", "j", "side", "label", "ref", "n", "sketch"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            side, label, ref, n = (np.array([h[q] for h in held]) for q in range(4))
+            found = list(_close([np.frombuffer(h[4], "<u8") for h in held], label, n, side, percent))
+            if found:
+                x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ref[x], ref[y])), pa.array(np.maximum(ref[x], ref[y]))], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(q).to_pylist() for q in range(8)]
+            for a, i, j, *rest in zip(*columns, strict=True):
+                if (a, i, j) != key:
+                    if held:
+                        yield from close()
+                    key, held = (a, i, j), []
+                held.append(rest)
+        if held:
+            yield from close()
+
+    sent = chunks.select("chunk", "rows").join(lists, "chunk").mapInArrow(sketches, "a long, i int, j int, side int, label long, ref long, n long, sketch binary")
+    return sent.repartition(parts, "a", "i", "j").sortWithinPartitions("a", "i", "j").mapInArrow(meet, "a long, b long").distinct()
+
+
 def _linked(documents: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The documents' chunks, and a row per document: ref, id, n and its component's root, null without links."""
     if not 51 <= percent <= 99:
@@ -349,47 +427,8 @@ def _linked(documents: DataFrame, id_col: str, text_col: str, shingle: int, perc
     release(spark)
     roots = components(edges)
 
-    # the second round: groups of live documents whose components still differ
-    labelled = live.join(roots.withColumnRenamed("node", "ref"), "ref", "left").select("ref", F.coalesce("root", "ref").alias("label"))
-    lists = labelled.groupBy(F.shiftright("ref", PLACE).alias("chunk")).agg(F.collect_list(F.struct((F.col("ref") % (1 << PLACE)).alias("place"), "label")).alias("live"))
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, rows, alive in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                c = Chunk(rows.as_buffer(), id_col, text_col, shingle)
-                keep, label = np.zeros(len(c.sizes), bool), np.zeros(len(c.sizes), np.int64)
-                place = np.array([x["place"] for x in alive])
-                keep[place], label[place] = True, [x["label"] for x in alive]
-                dealt = _deal(number, sketch(*c.only(keep), bands), parts, label)
-                if dealt is not None:
-                    yield dealt
-
-    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, entry, more = _gathered(batches, True)
-        first, size = _groups(key)
-        if not len(key):
-            return
-        low, high = np.minimum.reduceat(more[:, 0], first), np.maximum.reduceat(more[:, 0], first)
-        out, waiting = [], 0
-        for a, n in zip(first[low != high].tolist(), size[low != high].tolist(), strict=True):
-            ref, label, need = entry[a : a + n] >> 1, more[a : a + n, 0], more[a : a + n, 1]
-            for k in range(n - 1):
-                other = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
-                if len(other):
-                    lo, hi = np.minimum(ref[k], ref[other]), np.maximum(ref[k], ref[other])
-                    out.append(np.stack((lo, hi, np.maximum(need[k], need[other])), 1))
-                    waiting += len(other)
-                if waiting > 1 << 18:
-                    yield _counted(out)
-                    out, waiting = [], 0
-        if out:
-            yield _counted(out)
-
-    second = chunks.select("chunk", "rows").join(lists, "chunk").mapInArrow(again, "bucket long, chunk long, keys binary, who binary, more binary")
-    crossed = second.repartition(parts, "bucket").mapInArrow(crossing, "a long, b long, need long, n long")
-    counted = crossed.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need")
-    sizes = counted.join(live.select(F.col("ref").alias("a"), F.col("n").alias("na")), "a").join(live.select(F.col("ref").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = written(sizes.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b"), "pairs")
+    crossing = _crossing(left, live, roots, chunks, parts, (id_col, text_col, shingle), percent)
+    pairs = written(crossing, "pairs")
     release(spark)
     if not pairs.isEmpty():
         found = _verified(pairs, chunks, text_col, parts, shingle, percent)
@@ -422,13 +461,3 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield docs.filter(pa.array(keep))
 
     return chunks.select("chunk", "rows").join(gone, "chunk", "left").mapInArrow(run, documents.schema)
-
-
-def _counted(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """Pairs with the number of pieces in which they met."""
-    all_ = np.concatenate(rows)
-    order = np.lexsort((all_[:, 2], all_[:, 1], all_[:, 0]))
-    all_ = all_[order]
-    fresh = np.flatnonzero(np.concatenate(([True], (all_[1:, :2] != all_[:-1, :2]).any(1))))
-    n = np.diff(fresh, append=len(all_))
-    return pa.RecordBatch.from_arrays([pa.array(all_[fresh, 0]), pa.array(all_[fresh, 1]), pa.array(all_[fresh, 2]), pa.array(n)], ["a", "b", "need", "n"])

@@ -1,9 +1,8 @@
 """A linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-A text's features are the hashed byte n-grams that it holds at least once. Feature j is scaled by
-r_j = log((p_j / |p|) / (q_j / |q|)), the log ratio of smoothed document counts under the two labels; logistic
-regression over the scaled features gives the weights. N-grams whose ratio is near 0, or that few documents hold,
-have weight 0. The model is a table of fixed size, so scoring is one pass without a shuffle.
+A text's features are its hashed byte n-grams, each with the logarithm of one more than its count. Feature j is scaled by
+r_j = log((p_j / |p|) / (q_j / |q|)), the log ratio of smoothed counts under the two labels; logistic regression over
+the scaled features gives the weights. N-grams whose ratio is near 0, or that few documents hold, have weight 0. The model is a table of fixed size, so scoring is one pass without a shuffle.
 
 Fitting reads labelled rows only: at most SAMPLE_ROWS of each label, those whose ids hash lowest. All rows of that
 sample take part whole. Class weights follow the share of label 1 among all labelled rows.
@@ -44,8 +43,8 @@ class Model:
     bias: float
 
     def score(self, table: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        row, feature = _features(raw, offsets, table)
-        odds = np.bincount(row, weights=self.weights[np.searchsorted(self.features, feature)], minlength=len(offsets) - 1) + self.bias
+        row, feature, much = _features(raw, offsets, table)
+        odds = np.bincount(row, weights=much * self.weights[np.searchsorted(self.features, feature)], minlength=len(offsets) - 1) + self.bias
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
     def table(self) -> np.ndarray:
@@ -55,8 +54,8 @@ class Model:
         return out
 
 
-def _features(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, feature) pairs, of the features in `table` if given. Each text stands between two spaces."""
+def _features(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, feature) pairs and log2(1 + count), of the features in `table` if given. Texts stand between spaces."""
     n = np.diff(offsets)
     padded = np.full(len(raw) + 2 * len(n) + max(ORDERS), 32, np.uint8)
     padded[np.arange(len(raw)) + np.repeat(2 * np.arange(len(n)) + 1, n)] = _LOWER[raw]
@@ -74,39 +73,41 @@ def _features(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray | None = N
         row = np.searchsorted(begin, at, "right") - 1
         inside = at + k <= end[row] if len(n) else np.zeros(0, bool)
         pairs.append((row[inside].astype(np.int64) << BITS) | h[at[inside]].astype(np.int64))
-    both = np.unique(np.concatenate(pairs))
-    return both >> BITS, both & ((1 << BITS) - 1)
+    both, n = np.unique(np.concatenate(pairs), return_counts=True)
+    return both >> BITS, both & ((1 << BITS) - 1), np.log2(n + 1.0)
 
 
 def fit(texts: list[str], labels: np.ndarray, share: float) -> Model:
     """The classifier of these texts, where label 1 has this share among the rows to score."""
-    rows, features = [], []
     raw, offsets = ta.flat(pa.array(texts, pa.large_string()))
-    for a, b in ta.blocks(offsets):
-        r, f = _features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        rows.append((r + a).astype(np.int32))
-        features.append(f.astype(np.int32))
-    row, feature = np.concatenate(rows), np.concatenate(features)
-    one = labels[row] == 1
-    p = 1.0 + np.bincount(feature[one], minlength=1 << BITS)
-    q = 1.0 + np.bincount(feature[~one], minlength=1 << BITS)
-    # the sizes that scale the counts are those of the two samples
-    ratio = np.log(p / (labels == 1).sum()) - np.log(q / (labels != 1).sum())
-    chosen = np.flatnonzero((p + q - 2 >= LEAST_ROWS) & (np.abs(ratio) >= LEAST_RATIO))
-    number = np.full(1 << BITS, -1, np.int32)
-    number[chosen] = np.arange(len(chosen))
-    keep = number[feature] >= 0
-    row, column = row[keep], number[feature[keep]]
-    ratio = ratio[chosen]
-    x = ratio[column]
+    p, q, held = np.ones(1 << BITS, np.float32), np.ones(1 << BITS, np.float32), np.zeros(1 << BITS, np.int32)
+    parts = list(ta.blocks(offsets, ta.BLOCK_BYTES // 4))
+    for a, b in parts:  # the pairs of all rows would not fit a small driver
+        row, feature, much = _features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        one = labels[row + a] == 1
+        np.add.at(p, feature[one], much[one].astype(np.float32))
+        np.add.at(q, feature[~one], much[~one].astype(np.float32))
+        np.add.at(held, feature, 1)
+    ratio = np.log(p / p.sum(dtype=np.float64)) - np.log(q / q.sum(dtype=np.float64))
+    chosen = np.flatnonzero((held >= LEAST_ROWS) & (np.abs(ratio) >= LEAST_RATIO))
+    ratio = ratio[chosen].astype(np.float64)
+    table = np.zeros(1 << BITS, bool)
+    table[chosen] = True
+    found = []
+    for a, b in parts:
+        row, feature, much = _features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], table)
+        found.append(((row + a).astype(np.int32), np.searchsorted(chosen, feature).astype(np.int32), much))
+    row, column, much = (np.concatenate(x) for x in zip(*found, strict=True))
+    del table, found, raw, p, q, held
+    x = much * ratio[column]
     w, bias = np.zeros(len(chosen)), 0.0
     target = (labels == 1).astype(float)
     weight = np.where(target == 1, 0.5 / max(target.sum(), 1), 0.5 / max((1 - target).sum(), 1))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for step in range(1, 151):
+    for step in range(1, 401):
         odds = np.bincount(row, weights=x * w[column], minlength=len(labels)) + bias
         slope = weight * (1 / (1 + np.exp(-np.clip(odds, -40, 40))) - target)
-        g = np.bincount(column, weights=x * slope[row], minlength=len(chosen)) + 1e-4 * w
+        g = np.bincount(column, weights=x * slope[row], minlength=len(chosen)) + 1e-3 * w
         gb = slope.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, c = 1 - 0.9**step, 1 - 0.99**step

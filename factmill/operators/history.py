@@ -78,4 +78,4 @@ def quotas(rows: DataFrame, layer: str, id_: str, total: int) -> DataFrame:
     order = F.row_number().over(Window.partitionBy().orderBy(F.desc(F.col("exact") - F.col("base")), layer))
     quota = share.withColumn("quota", F.col("base") + (order <= left).cast("int")).select(layer, "quota")  # a row per layer
     place = F.row_number().over(Window.partitionBy(layer).orderBy(F.sha2(F.col(id_).cast("string"), 256), id_))
-    return rows.withColumn("place", place).join(F.broadcast(quota), layer).where("place <= quota").drop("place", "quota")
+    return rows.withColumn("place", place).join(quota, layer).where("place <= quota").drop("place", "quota")

@@ -440,7 +440,8 @@ def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document: id, n_shingles and component_id, the smallest id that links of similar sets lead to."""
     base = documents.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     _, table = _linked(base, id_col, text_col, shingle, percent)
-    least = table.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
+    table = table.withColumn("root", F.coalesce("root", -F.col("ref") - 1))  # unlinked rows must not meet in one task
+    least = table.where("root >= 0").groupBy("root").agg(F.min("id").alias("least"))
     out = table.join(least, "root", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 

@@ -27,10 +27,15 @@ def folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """`df`, written as Parquet to the shared folder and reread: later steps don't recompute it, and survive lost executors."""
+    """`df`, written as Parquet to the shared folder and reread: later steps don't recompute it, and survive lost executors.
+
+    The driver's JVM deletes it when it ends.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,11 +7,12 @@ of the D + 1 or more pieces that hold anything, one at least is equal (pigeonhol
 their size band, and those near a band's upper end under the next band's as well. Candidates are then verified on
 whole shingle sets. Sets are compared by 64-bit shingle hashes.
 
-Groups of equal pieces are never expanded into rows of pairs. A first round links each member to the group's first
-member. A document lives on only if so many of its pieces are shared as any similar partner would share. In a second round
-live documents with a common first member, whose components still differ, are compared by bit sketches: each hash turns
-one bit, so the Hamming distance of two sketches is at most the sets' symmetric difference. Pairs within the bound are
-verified, so a link that the first round's stars miss is found. No size, partner count or group is capped.
+Groups of equal pieces are never expanded into rows of pairs: each member is filed under the group's first member. A
+document lives on only if so many of its pieces are shared as any similar partner would share. In a first round the live
+documents under a first member are verified against their centre, the one that shares most pieces: copies with different
+edits are nearer to their origin than to each other. In a second round those whose components still differ are compared
+by bit sketches: each hash turns one bit, so the Hamming distance of two sketches is at most the sets' symmetric
+difference. Pairs within the bound are verified, so a link that the first round's stars miss is found. No size, partner count or group is capped.
 
 Whether P suffices depends on hash values only: the chance that a document fills fewer than D + 1 pieces is below
 1e-8 for the smallest sets and vanishes for larger ones.
@@ -242,13 +243,13 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = links[links[:, 0] != links[:, 1]]
         same = (chunk << PLACE) + table[:, 3]
         ids = pa.array(table[:, 0], mask=table[:, 1] == 1)
-        yield pa.RecordBatch.from_arrays([pa.array(ref), pa.array(same), ids, pa.array(table[:, 2]), pa.array(live)], _TABLE)
+        yield pa.RecordBatch.from_arrays([pa.array(ref), pa.array(same), ids, pa.array(table[:, 2]), pa.array(shared[:, 0].astype(np.int64)), pa.array(live)], _TABLE)
         if len(links):
             nothing = pa.nulls(len(links), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1]), nothing, nothing, pa.nulls(len(links), pa.bool_())], _TABLE)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1]), nothing, nothing, nothing, pa.nulls(len(links), pa.bool_())], _TABLE)
 
 
-_TABLE = ["ref", "other", "id", "n", "live"]
+_TABLE = ["ref", "other", "id", "n", "shared", "live"]
 
 
 def _verified(pairs: DataFrame, chunks: DataFrame, text_col: str, parts: int, shingle: int, percent: int) -> DataFrame:
@@ -327,15 +328,14 @@ def _close(sketch_: list[np.ndarray], label: np.ndarray, n: np.ndarray, side: np
                     yield np.full(len(other), i), other
 
 
-def _crossing(left: DataFrame, live: DataFrame, roots: DataFrame, chunks: DataFrame, parts: int, how: tuple, percent: int) -> DataFrame:
+def _crossing(members: DataFrame, roots: DataFrame, chunks: DataFrame, parts: int, how: tuple, percent: int) -> DataFrame:
     """The second round. Similar documents share a piece, so both met that piece's first member: of the members of each
     first member, those pairs whose components still differ and whose parity sketches are close enough to verify.
 
     A group is cut into blocks of BLOCK members, and blocks meet in tasks of their own.
     """
     id_col, text_col, shingle = how
-    members = left.unionAll(live.join(left.select(F.col("a").alias("ref")).distinct(), "ref", "left_semi").select(F.col("ref").alias("a"), F.col("ref").alias("b"))).distinct()
-    labelled = members.join(roots.withColumnRenamed("node", "b"), "b", "left").select("a", F.col("b").alias("ref"), F.coalesce("root", "b").alias("label"))
+    labelled = members.select("a", "ref").join(roots.withColumnRenamed("node", "ref"), "ref", "left").select("a", "ref", F.coalesce("root", "ref").alias("label"))
     open_ = labelled.groupBy("a").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     blocked = labelled.join(open_.select("a", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "a").withColumn("block", F.pmod(F.xxhash64("ref"), "blocks").cast("int"))
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"), F.when(o == F.col("block"), 2).when(F.col("block") < o, 0).otherwise(1).alias("side")))
@@ -415,19 +415,22 @@ def _linked(documents: DataFrame, id_col: str, text_col: str, shingle: int, perc
 
     sent = chunks.select("chunk", "rows").mapInArrow(first, "bucket long, chunk long, keys binary, who binary, info binary")
     stars = sent.repartition(parts, "bucket").mapInArrow(_stars, "chunk long, led binary, info binary")
-    judged = written(stars.repartition(parts, "chunk").mapInArrow(_judged, "ref long, other long, id long, n long, live boolean"), "judged")
+    judged = written(stars.repartition(parts, "chunk").mapInArrow(_judged, "ref long, other long, id long, n long, shared long, live boolean"), "judged")
     release(spark)
     docs = judged.where("live is not null")
     copies = docs.where("ref <> other").select(F.col("other").alias("a"), F.col("ref").alias("b"))
-    live = docs.where("live").select("ref", "n")
-    left = judged.where("live is null").select(F.col("other").alias("a"), F.col("ref").alias("b"))
-    sized = left.join(live.select(F.col("ref").alias("a"), F.col("n").alias("na")), "a").join(live.select(F.col("ref").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = written(sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b"), "pairs")
+    live = docs.where("live").select("ref", "n", "shared")
+    left = judged.where("live is null").select(F.col("other").alias("a"), "ref")
+    leads = live.join(left.select(F.col("a").alias("ref")).distinct(), "ref", "left_semi").select(F.col("ref").alias("a"), "ref")
+    members = written(left.unionAll(leads).distinct().join(live, "ref"), "members")
+    centre = members.groupBy("a").agg(F.max_by(F.struct("ref", "n"), F.struct("shared", -F.col("ref"))).alias("c"))
+    met = members.join(centre, "a").where(f"ref <> c.ref and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
+    pairs = written(met.select(F.col("c.ref").alias("a"), F.col("ref").alias("b")).distinct(), "pairs")
     edges = written(_verified(pairs, chunks, text_col, parts, shingle, percent).unionAll(copies), "edges")
     release(spark)
     roots = components(edges)
 
-    crossing = _crossing(left, live, roots, chunks, parts, (id_col, text_col, shingle), percent)
+    crossing = _crossing(members, roots, chunks, parts, (id_col, text_col, shingle), percent)
     pairs = written(crossing, "pairs")
     release(spark)
     if not pairs.isEmpty():

@@ -71,7 +71,8 @@ def remove_repeated_units(documents: DataFrame, id_col: str = "doc_id", text_col
     rows = written(chunks.select("chunk", "rows").mapInArrow(units, "h1 long, h2 long, doc long, ref long, unit long"), "units")
     first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "ref", "unit")).alias("first"), F.count("*").alias("n"))
     first = written(first.where("n > 1").select("h1", "h2", F.col("first.ref").alias("first_ref"), F.col("first.unit").alias("first_unit")), "first")
-    later = rows.select("h1", "h2", "ref", "unit").join(first, ["h1", "h2"]).where("ref <> first_ref or unit <> first_unit")
+    # merge joins whatever the size of the other side: what is moved then grows in step with the input
+    later = rows.select("h1", "h2", "ref", "unit").join(first.hint("merge"), ["h1", "h2"]).where("ref <> first_ref or unit <> first_unit")
     gone = later.groupBy("ref").agg(F.collect_list("unit").alias("units"))  # a document's own lines
     gone = written(gone, "gone").groupBy(F.shiftright("ref", _PLACE).alias("chunk")).agg(F.collect_list(F.struct((F.col("ref") % (1 << _PLACE)).alias("place"), "units")).alias("gone"))
     release(documents.sparkSession)
@@ -96,5 +97,5 @@ def remove_repeated_units(documents: DataFrame, id_col: str = "doc_id", text_col
                     removed.append(found)
                 yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(many, pa.int64()), pa.array(removed, spans), pa.array(left, pa.string())], [id_col, "n_units", "removed", "kept"])
 
-    both = chunks.select("chunk", "rows").join(gone, "chunk", "left")
+    both = chunks.select("chunk", "rows").join(gone.hint("merge"), "chunk", "left")
     return both.mapInArrow(cut, f"{id_col} long, n_units long, removed array<struct<unit:long,start:long,n:long>>, kept string")

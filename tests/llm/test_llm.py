@@ -111,6 +111,33 @@ def test_lm_score(spark):
     assert got[0]["score"] < got[1]["score"]
 
 
+def test_lm_score_counts_every_ngram_by_itself(spark, monkeypatch):
+    """More words and pairs than fit 2^18 and 2^22 cells without sharing; the vocabulary grows with them."""
+    monkeypatch.setattr(lmscore, "VOCABULARY", 1000)
+    monkeypatch.setattr(lmscore, "CHUNK_BYTES", 1 << 16)
+    r = random.Random(8)
+    texts = [" ".join(f"W{min(r.randrange(60_000), r.randrange(60_000))}" for _ in range(200)) for _ in range(400)]
+    docs = documents(spark, texts).repartition(3, "doc_id")
+    models = lmscore.train(docs, spark.createDataFrame([(k,) for k in range(0, 400, 2)], "doc_id long"))
+    got = {r["doc_id"]: r for r in lmscore.score_documents(docs, models).collect()}
+    seqs = [["", *t.lower().split()] for t in texts]
+    words, pairs = [defaultdict(int), defaultdict(int)], [defaultdict(int), defaultdict(int)]
+    for d, seq in enumerate(seqs):
+        for k in (0, 1) if d % 2 == 0 else (1,):
+            for w in seq:
+                words[k][w] += 1
+            for p in zip(seq[:-1], seq[1:], strict=True):
+                pairs[k][p] += 1
+    v = len(words[1]) - 1
+    assert models.words == models.vocabulary == v > 1000
+    for d, seq in enumerate(seqs):
+        loss = [0.0, 0.0]
+        for k, n in ((0, 40_000), (1, 80_000)):
+            for a, b in zip(seq[:-1], seq[1:], strict=True):
+                loss[k] -= math.log(lmscore.MIX * pairs[k][a, b] / max(words[k][a], 1) + (1 - lmscore.MIX) * (words[k][b] + 1) / (n + v)) / 200
+        assert (got[d]["n_tokens"], got[d]["target_loss"], got[d]["background_loss"]) == (200, pytest.approx(loss[0], rel=1e-9), pytest.approx(loss[1], rel=1e-9))
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -6,8 +6,9 @@ doesn't keep the shorter one (apart from a trailer that moves along) rewrites hi
 have no spans. Where the text stands inside a span is found by rendering the turn with two probe texts: what both
 outputs share at either end is markup.
 
-Rows are dealt by conversation and sorted by turn; a conversation streams through its task in segments of SEGMENT turns,
-rendered after the last CONTEXT turns before them, so neither memory nor the cost of prefixes grows with its length.
+Rows are dealt by conversation and sorted by turn. A black box may look at any turn, so every prefix is rendered from the
+conversation's first turn on: a task holds one conversation, and its cost grows with the square of its length. What comes
+out is cut into segments of SEGMENT turns; joined, they are what the template makes of the whole conversation.
 
 Defined results: null texts and roles are empty; equal turn numbers stand in the order of role, then text; repeated rows
 are turns of their own; rows without a conversation id form one conversation. Other columns are ignored.
@@ -28,8 +29,8 @@ from factmill.llm.scratch import arrow_rows, shuffle_partitions
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-#: Turns that are rendered together, and turns before them that stand in front.
-SEGMENT, CONTEXT = 32, 2
+#: Turns of a row that comes out.
+SEGMENT = 32
 
 START, END = "<|im_start|>", "<|im_end|>"
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -81,10 +82,9 @@ class Rewrites(ValueError):
     """The template changes what it had rendered for earlier turns."""
 
 
-def locate(render: Template, before: list[Turn], turns: list[Turn]) -> tuple[str, list[tuple[int, int, int, int]]]:
-    """What the template adds for `turns` after `before`, and each turn's span: start, end, and its text's start and end."""
-    out = render(before)
-    base = None
+def _located(render: Template, before: list[Turn], turns: list[Turn]) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """What the template makes of all turns, and the span in it of each of `turns`: start, end, and its text's start and end."""
+    out = render([*before])
     spans = []
     done = list(before)
     for role, text in turns:
@@ -96,19 +96,38 @@ def locate(render: Template, before: list[Turn], turns: list[Turn]) -> tuple[str
         end = len(longer) - len(trailer)
         one, two = (render([*done, (role, probe)]) for probe in ("0", "1"))
         first = _common(one, two)
-        last = _common(one[::-1], two[::-1])
+        last = _common(one[first:][::-1], two[first:][::-1])
+        if one == two:  # the template doesn't show this text
+            first, last = end, len(trailer)
         if first < start or last < len(trailer):
             raise Rewrites
-        base = start if base is None else base
-        spans.append((start - base, end - base, first - base, len(longer) - last - base))
+        spans.append((start, end, first, len(longer) - last))
         done.append((role, text))
         out = longer
-    return (out[base : spans[-1][1] + base], spans) if spans else ("", [])
+    return out, spans
+
+
+def _moved(spans: list[tuple[int, int, int, int]], base: int) -> list[tuple[int, int, int, int]]:
+    return [tuple(x - base for x in s) for s in spans]
+
+
+def locate(render: Template, before: list[Turn], turns: list[Turn]) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """What the template adds for `turns` after `before`, and each turn's span in that."""
+    out, spans = _located(render, before, turns)
+    return (out[spans[0][0] : spans[-1][1]], _moved(spans, spans[0][0])) if spans else ("", [])
+
+
+def segments(render: Template, turns: list[Turn]) -> list[tuple[str, list[tuple[int, int, int, int]]]]:
+    """The whole conversation's rendering, cut where every SEGMENT-th turn starts, each piece with its turns' spans."""
+    out, spans = _located(render, [], turns)
+    cuts = [0, *(spans[k][0] for k in range(SEGMENT, len(turns), SEGMENT)), len(out)]
+    return [(out[x:y], _moved(spans[k * SEGMENT : (k + 1) * SEGMENT], x)) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
 
 def format_conversations(conversations: DataFrame, template: Template = chat_template, loss_role: str = "assistant", conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per segment, in order within a conversation: conv_id, segment, the formatted text, each turn's spans in it
-    (start, end, text_start, text_end in code points, and whether loss counts on its text), and rewrites.
+    (start, end, text_start, text_end in code points, and whether loss counts on its text), and rewrites. A conversation
+    that the template rewrites is one row, whole and without spans.
 
     Rows of a conversation lie in one partition, segment after segment.
     """
@@ -123,18 +142,16 @@ def format_conversations(conversations: DataFrame, template: Template = chat_tem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        key, held, before, number, bad, none = None, [], [], 0, False, True
+        key, held, none = None, [], True
 
         def flush() -> None:
-            nonlocal before, number, bad
             try:
-                formatted, spans = locate(template, before, held)
+                found, bad = segments(template, held), False
             except Rewrites:
-                bad = True
-                formatted, spans = template(held), []
-            rows.append((key, number, formatted, [(*s, r == loss_role) for s, (r, _) in zip(spans, held, strict=False)], bad))
-            number += 1
-            before = [*before, *held][-CONTEXT:]
+                found, bad = [(template([*held]), [])], True
+            for number, (formatted, spans) in enumerate(found):
+                mine = held[number * SEGMENT : (number + 1) * SEGMENT]
+                rows.append((key, number, formatted, [(*s, r == loss_role) for s, (r, _) in zip(spans, mine, strict=False)], bad))
 
         def batch_of(found: list[tuple]) -> pa.RecordBatch:
             ids, numbers, texts, spans, flags = zip(*found, strict=True)
@@ -145,12 +162,10 @@ def format_conversations(conversations: DataFrame, template: Template = chat_tem
         for batch in batches:
             type_ = batch.column(0).type
             for k, r, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if none or k != key or len(held) == SEGMENT:
+                if none or k != key:
                     if held:
                         flush()
-                    if none or k != key:
-                        key, before, number, bad, none = k, [], 0, False, False
-                    held = []
+                    key, held, none = k, [], False
                 held.append((r, t))
             if rows:
                 yield batch_of(rows)

@@ -240,6 +240,26 @@ def test_black_box_templates(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_templates_with_a_long_memory(spark):
+    """Templates whose state only the real prefix shows, on conversations longer than a segment."""
+    turns = [("a" if k % 2 else "u", f"t{k}") for k in range(70)]
+    df = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+
+    def numbered(turns):
+        return "<s>" + "".join(f"[{k}{r}]{x}" for k, (r, x) in enumerate(turns)) + "</s>"
+
+    rows = chat.format_conversations(df, numbered, "a").orderBy("segment").collect()
+    assert "".join(r["formatted"] for r in rows) == numbered(turns) and len(rows) == 3 and not any(r["rewrites"] for r in rows)
+    assert [r["formatted"][s["text_start"] : s["text_end"]] for r in rows for s in r["spans"]] == [x for _, x in turns]
+    assert [s["loss"] for r in rows for s in r["spans"]] == [r == "a" for r, _ in turns]
+
+    def last(turns):
+        return "".join(f"[{r}]{x}" for r, x in turns[-40:])
+
+    (row,) = chat.format_conversations(df, last).collect()
+    assert row["rewrites"] and row["formatted"] == last(turns) and row["spans"] == []
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factmill.llm.scratch import written
+
 
 def head(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The latest row of each key, by one partially summed aggregation rather than a sort of each key's log."""
@@ -53,20 +55,27 @@ def fingerprint(rows: DataFrame, by: list[str], id_: Column, digest: Column) ->
 def closure(edges: DataFrame, child: str, parent: str, adopted: DataFrame, key: str) -> DataFrame:
     """For every child that a walk over its parents starts from: whether all walks end in adopted rows.
 
-    A missing or parentless row that isn't adopted breaks a chain; rows already visited are skipped. One recursive
-    query walks all chains at once, and a union without duplicates ends cycles.
+    A missing or parentless row that isn't adopted breaks a chain, however long; cycles end nowhere and break nothing.
+    Hops double each round: a start that meets a broken end within as many steps as its hops span is settled, the others'
+    hops are joined to the hops of where they lead. No walk to a broken end needs more steps than there are rows.
     """
-    spark = edges.sparkSession
-    edges.select(F.col(child).alias("node"), F.col(parent).alias("up")).distinct().createOrReplaceTempView("closure_links")
-    adopted.select(F.col(key).alias("node")).distinct().createOrReplaceTempView("closure_adopted")
-    return spark.sql(f"""
-WITH RECURSIVE walk(start, node, depth) AS (
-  SELECT node, up, 1 FROM closure_links
-  UNION ALL
-  SELECT w.start, l.up, w.depth + 1 FROM walk w JOIN closure_links l ON l.node = w.node
-  WHERE w.depth < 64 AND w.node NOT IN (SELECT node FROM closure_adopted)),
-stuck AS (SELECT DISTINCT start FROM walk w WHERE node IS NULL OR (node NOT IN (SELECT node FROM closure_adopted) AND NOT EXISTS (SELECT 1 FROM closure_links l WHERE l.node = w.node)))
-SELECT l.start AS {child}, s.start IS NULL AS valid FROM (SELECT DISTINCT node AS start FROM closure_links) l LEFT JOIN stuck s ON l.start = s.start""")
+    links = written(edges.select(F.col(child).alias("node"), F.col(parent).alias("up")).distinct(), "links")
+    starts = written(links.select("node").distinct(), "starts")
+    ends = adopted.select(F.col(key).alias("up")).where("up is not null").distinct()
+    open_ = links.join(ends, "up", "left_anti")
+    known = starts.where("node is not null").select(F.col("node").alias("up"), F.lit(True).alias("known"))
+    step = written(open_.join(known, "up", "left").select("node", "up", F.col("known").isNotNull().alias("known")), "steps")
+    bad = written(step.where("not known and node is not null").select("node").distinct(), "broken")
+    hops = written(step.where("known and node is not null").select("node", "up").join(bad, "node", "left_anti"), "hops")
+    span, most = 1, starts.count() + 1
+    while span < most and not hops.isEmpty():
+        found = written(hops.join(bad.select(F.col("node").alias("up")), "up").select("node").distinct(), "broken")
+        on = hops.select(F.col("node").alias("up"), F.col("up").alias("beyond"))
+        hops = written(hops.join(found, "node", "left_anti").join(on, "up").select("node", F.col("beyond").alias("up")).distinct(), "hops")
+        bad = written(bad.unionAll(found), "broken")
+        span *= 2
+    stuck = bad.select("node", F.lit(True).alias("stuck"))
+    return starts.join(stuck, "node", "left").select(F.col("node").alias(child), F.col("stuck").isNull().alias("valid"))
 
 
 def quotas(rows: DataFrame, layer: str, id_: str, total: int) -> DataFrame:

@@ -163,6 +163,16 @@ def test_closure_with_cycle_and_gap(spark):
     assert got == {1: True, 2: True, 4: True, 5: True, 6: False, 8: False}
 
 
+def test_closure_has_no_depth_limit(spark):
+    links = [(k, k + 1) for k in range(1, 101)] + [(k, k + 1) for k in range(201, 301)] + [(301, None), (301, 290)]
+    links += [(k, k + 1) for k in range(401, 500)] + [(500, 401), (600, 401), (600, 300), (601, 401)] + [(k, k + 1) for k in range(701, 801)]
+    edges = spark.createDataFrame(links, "id int, up int")
+    good = spark.createDataFrame([(101,), (301,), (750,)], "id int")
+    got = {r["id"]: r["valid"] for r in hx.closure(edges, "id", "up", good, "id").collect()}
+    want = {k: True for k in (*range(1, 101), *range(201, 301), *range(401, 501), 600, 601)}
+    assert got == want | {301: False} | {k: k < 750 for k in range(701, 801)}
+
+
 def test_quotas_sum_up(spark):
     rows = spark.createDataFrame([(i, "abc"[min(i // 5, 2)]) for i in range(23)], "id int, layer string")
     got = hx.quotas(rows, "layer", "id", 10).groupBy("layer").count().collect()

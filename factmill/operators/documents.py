@@ -1,4 +1,4 @@
-"""Document structure: chunks, headings, repeated page lines, neighbours and continuation."""
+"""Document structure: chunks, headings, repeated page lines, neighbours and values carried forward."""
 
 from __future__ import annotations
 

@@ -89,9 +89,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         "n_units",
-        F.size("removed").cast("long").alias("n_removed"),
+        "n_removed",
         F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("removed_chars"),
-        F.sha2(F.concat_ws(",", F.transform("removed", lambda x: F.concat_ws(":", x["unit"].cast("string"), x["start"].cast("string"), x["n"].cast("string")))), 256).alias("removed_sha256"),
+        F.sha2(F.concat_ws(",", F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["n"].cast("string")))), 256).alias("removed_sha256"),
         F.sha2(F.encode(F.coalesce("kept", F.lit("")), "utf-8"), 256).alias("kept_sha256"),
     )
 
@@ -121,11 +121,27 @@ QUERIES = {f.__name__: f for f in (op1_lm_score, op2_decontaminate, op3_chat_for
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: t: words (odd k) and the white space around them; s: where a sentence or a line begins and ends; u: units; v: those that go.
 _UNITS = """
-u AS (SELECT doc_id, l, p, trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\v\\f\\r]+', ' ', 'g'), ' ') AS t
-      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents)),
-o AS (SELECT *, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s,
-             t <> '' AND row_number() OVER (PARTITION BY t ORDER BY doc_id, p) > 1 AS gone FROM u)"""
+x AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+|[^ \\t\\n\\v\\f\\r]+') AS a FROM documents),
+y AS (SELECT doc_id, unnest(a) AS w, generate_subscripts(a, 1) AS k FROM x),
+t AS (SELECT *, NOT regexp_matches(w, '^[ \\t\\n\\v\\f\\r]') AS word, CAST(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) - length(w) AS pos FROM y),
+z AS (SELECT doc_id, k, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i,
+             coalesce(contains(lead(gap) OVER (PARTITION BY doc_id ORDER BY k), chr(10)), true) AS broken
+      FROM (SELECT *, lag(w, 1, '') OVER (PARTITION BY doc_id ORDER BY k) AS gap FROM t) WHERE word),
+s AS (SELECT *, broken OR regexp_matches(w, '[.!?]$') AS stop FROM z),
+e AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY i), true) AS opens, coalesce(lag(broken) OVER (PARTITION BY doc_id ORDER BY i), true) AS breaks FROM s),
+p AS (SELECT a.doc_id, a.i, b.i AS j FROM (SELECT doc_id, i, i + 19 AS least FROM e WHERE opens) a ASOF JOIN (SELECT doc_id, i FROM e WHERE stop) b ON a.doc_id = b.doc_id AND a.least <= b.i
+      UNION SELECT a.doc_id, a.i, b.i FROM (SELECT doc_id, i FROM e WHERE breaks) a ASOF JOIN (SELECT doc_id, i FROM e WHERE broken) b ON a.doc_id = b.doc_id AND a.i <= b.i WHERE b.i - a.i >= 19),
+l AS (SELECT doc_id, list(w ORDER BY i) AS ws, list(k ORDER BY i) AS ks FROM e GROUP BY doc_id),
+u AS (SELECT doc_id, i, j, ks[i] AS ki, ks[j] AS kj, array_to_string(ws[i:j], ' ') AS g FROM p JOIN l USING (doc_id)),
+f AS (SELECT *, first_value(doc_id) OVER r AS fd, first_value(j) OVER r AS fj, row_number() OVER r AS nth FROM u WINDOW r AS (PARTITION BY g ORDER BY doc_id, i)),
+v AS (SELECT * FROM f WHERE nth > 1 AND (doc_id <> fd OR i > fj)),
+c AS (SELECT doc_id, k, w, pos, max(kj) OVER (PARTITION BY doc_id ORDER BY k) >= k AS gone FROM t LEFT JOIN (SELECT doc_id, ki AS k, max(kj) AS kj FROM v GROUP BY 1, 2) USING (doc_id, k)),
+o AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY k), false) AS fresh FROM (SELECT doc_id, k, w, pos, coalesce(gone, false) AS gone FROM c)),
+q AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY k) AS span FROM o),
+m AS (SELECT doc_id, string_agg(pos || ':' || n, ',' ORDER BY pos) AS spans, CAST(sum(n) AS BIGINT) AS chars FROM (SELECT doc_id, span, min(pos) AS pos, CAST(sum(length(w)) AS BIGINT) AS n FROM q WHERE gone GROUP BY 1, 2) GROUP BY 1),
+h AS (SELECT doc_id, string_agg(w, '' ORDER BY k) AS kept FROM q WHERE NOT gone GROUP BY 1)"""
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": """
@@ -148,10 +164,9 @@ r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e
 SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1""",
     "op8_line_dedup": f"""
 WITH {_UNITS}
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, CAST(coalesce(sum(length(l)) FILTER (gone), 0) AS BIGINT) AS removed_chars,
-       sha256(coalesce(string_agg(p || ':' || CAST(s AS BIGINT) || ':' || length(l), ',' ORDER BY p) FILTER (gone), '')) AS removed_sha256,
-       sha256(coalesce(string_agg(l, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
-FROM o GROUP BY doc_id""",
+SELECT d.doc_id, coalesce((SELECT count(*) FROM u WHERE u.doc_id = d.doc_id), 0) AS n_units, coalesce((SELECT count(*) FROM v WHERE v.doc_id = d.doc_id), 0) AS n_removed,
+       coalesce(chars, 0) AS removed_chars, sha256(coalesce(spans, '')) AS removed_sha256, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN m USING (doc_id) LEFT JOIN h USING (doc_id)""",
     "op2_decontaminate": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),

@@ -442,24 +442,47 @@ def test_components(spark):
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 
-def test_line_dedup(spark):
-    texts = ["A  b\nunique\n\nA  b", "a b \nother\n\n", None, "", "other", "  ", "x" * 50_000 + "\nUNIQUE"]
-    ids = [4, 2, 9, 8, None, 7, 1]
-    got = {r["doc_id"]: r for r in lines.remove_repeated_units(documents(spark, texts, ids)).collect()}
-    seen, want = {}, {}
-    for i, t in sorted(zip(ids, texts, strict=True), key=lambda p: (p[0] is None, p[0] or 0)):
-        keep, gone, at = [], [], 0
-        for j, u in enumerate(t.split("\n") if t is not None else []):
-            plain = " ".join(u.lower().split())
-            if plain and plain in seen:
-                gone.append((j, at, len(u)))
-            else:
-                seen[plain] = True
-                keep.append(u)
-            at += len(u) + 1
-        want[i] = (None if t is None else "\n".join(keep), gone)
-    for i, (kept, gone) in want.items():
-        assert got[i]["kept"] == kept and [tuple(x) for x in got[i]["removed"]] == gone
+def brute_lines(rows, least):
+    """What remove_repeated_units must give: rows (id, text) in input order, ids last if None."""
+    first, out = {}, {}
+    for n, (i, t) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
+        w = [(m.start(), m.end()) for m in re.finditer(r"[^ \t\n\v\f\r]+", t or "")]
+        broken = [k + 1 == len(w) or "\n" in t[w[k][1] : w[k + 1][0]] for k in range(len(w))]
+        stop = [broken[k] or t[w[k][1] - 1] in ".!?" for k in range(len(w))]
+        units = set()
+        for k in range(len(w)):
+            if k == 0 or stop[k - 1]:
+                ends = [j for j in range(k + least - 1, len(w)) if stop[j]]
+                units |= {(k, ends[0])} if ends else set()
+            if k == 0 or broken[k - 1]:
+                j = next(j for j in range(k, len(w)) if broken[j])
+                units |= {(k, j)} if j - k + 1 >= least else set()
+        gone, many = set(), 0
+        for k, j in sorted(units):
+            words = " ".join(t[a:b] for a, b in w[k : j + 1])
+            key = "".join(c.lower() if "A" <= c <= "Z" else c for c in words)
+            at = first.setdefault(key, (n, j))
+            if at[0] != n or k > at[1]:
+                gone |= set(range(w[k][0], w[j][1]))
+                many += 1
+        spans = [k for k in sorted(gone) if k - 1 not in gone]
+        out[n] = (len(units), many, [(k, next(e for e in range(k, len(t) + 1) if e not in gone) - k) for k in spans], None if t is None else "".join(c for k, c in enumerate(t) if k not in gone))
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 3, 20])
+def test_line_dedup(spark, least):
+    passage = "One two three. Four five six seven! Éight nine ten eleven twelve? " * 2
+    texts = ["A  b\nunique\n\nA  b", "a b \nother\n\n", None, "", "other", "  ", "x" * 20_000 + "\nUNIQUE"]
+    texts += ["Lead in " + passage + "and a tail.", "other start. " + passage.replace(". ", ".\n"), "a. " * 60, "a. " * 90, passage, passage, "é. " + passage.upper()]
+    ids = [4, 2, 9, 8, None, 7, 1, 20, 21, 22, 23, 24, 24, 25]
+    docs = documents(spark, texts, ids).repartitionByRange(3, "doc_id")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = [(r["n_units"], r["n_removed"], [tuple(x) for x in r["removed"]], r["kept"]) for r in lines.remove_repeated_units(docs, least=least).collect()]
+    want = brute_lines(rows, least)
+    assert sorted(got, key=repr) == sorted(want.values(), key=repr)
+    if least == 20:
+        assert sum(n > 0 for _, n, _, _ in got) >= 5
     assert lines.remove_repeated_units(documents(spark, [])).count() == 0
 
 

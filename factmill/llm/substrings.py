@@ -68,7 +68,7 @@ class Chunk:
         keep = inside[self.start] if n else np.zeros(0, bool)
         self.start, self.end = self.start[keep], self.end[keep]
         self.row = np.searchsorted(self.offsets, self.start, "right") - 1
-        value = least[self.start] if n else np.zeros(0, ta.U64)
+        value = ta.mix(least[self.start]) if n else np.zeros(0, ta.U64)  # minima crowd at small values: spread over all buckets
         self.anchors, self.which = np.unique(value, return_inverse=True)
         self.bucket = ((self.anchors >> ta.U64(32)) * ta.U64(buckets) >> ta.U64(32)).astype(np.int64)
         self.first = np.searchsorted(self.bucket, np.arange(buckets + 1))

@@ -198,8 +198,8 @@ def word_tokens(path: str) -> WordTokens:
 def choose_cuts(at: np.ndarray, penalty: np.ndarray, most: int) -> list[int]:
     """Which of the sorted positions `at` (the first one the stream's start, the last its end) to cut at.
 
-    A window from i to j costs most - (j - i), or nothing if j - i is a power of two, and each cut its penalty.
-    Neighbouring positions are at most `most` apart. Ties go to the longer window.
+    A window from i to j costs most - (j - i), and each cut its penalty. Neighbouring positions are at most `most` apart.
+    Ties go to the longer window. (Only what ends a stream may be cut into powers of two: see in_powers.)
     """
     where, price = at.tolist(), penalty.tolist()
     n = len(where)
@@ -232,7 +232,8 @@ def in_powers(length: int, most: int) -> list[int]:
 
 
 def _positions(ends: np.ndarray, sentence: np.ndarray, total: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the stream may be cut, and at what price. Stretches without a boundary can be cut at every 64th token."""
+    """Where the stream may be cut, and at what price. Stretches without a boundary can be cut at every 64th token,
+    and in shorter steps if windows are short."""
     price = np.full(total + 1, 0, np.float64)
     may = np.zeros(total + 1, bool)
     may[sentence] = True
@@ -242,9 +243,9 @@ def _positions(ends: np.ndarray, sentence: np.ndarray, total: int, most: int) ->
     may[[0, total]] = True
     price[[0, total]] = 0
     at = np.flatnonzero(may)
-    wide = np.flatnonzero(np.diff(at) > most // 4)
+    wide, step = np.flatnonzero(np.diff(at) > most // 4), max(1, min(64, most // 4))
     for a, b in zip(at[wide].tolist(), at[wide + 1].tolist(), strict=True):
-        extra = np.arange(a + 64, b, 64)
+        extra = np.arange(a + step, b, step)
         may[extra] = True
         price[extra] = ELSEWHERE
     at = np.flatnonzero(may)

@@ -5,7 +5,7 @@ r_j = log((p_j / |p|) / (q_j / |q|)), the log ratio of smoothed counts under the
 the scaled features gives the weights. N-grams whose ratio is near 0, or that few documents hold, have weight 0. The model is a table of fixed size, so scoring is one pass without a shuffle.
 
 Fitting reads labelled rows only: at most SAMPLE_ROWS of each label, those whose ids hash lowest. All rows of that
-sample take part whole. Class weights follow the share of label 1 among all labelled rows.
+sample take part whole; longer texts than SAMPLE_BYTES are not sampled. Class weights follow the share of label 1 among all labelled rows.
 
 Defined results: a null or empty text scores what a text without known n-grams scores. Rows with a null label or id
 don't train. Without both labels every text scores the share of label 1, or 0.5 without any labels.
@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from factmill.llm import textarrays as ta
 from factmill.llm.scratch import arrow_rows
 
-#: Rows of each label that the classifier is fitted on, at most; bytes of one of them that the driver holds at most.
-SAMPLE_ROWS = 1500
+#: Rows of each label that the classifier is fitted on, at most, and bytes of the longest text among them: what the driver holds.
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 1 << 20
 ORDERS = (3, 4, 5, 6)
 BITS = 22
-#: A feature counts if so many sampled rows hold it and its ratio is so far from 1, as a logarithm.
+#: A feature counts if so many sampled rows hold it (fewer if there are not ten times as many of the rarer label, but two) and
+#: its ratio is so far from 1, as a logarithm.
 LEAST_ROWS, LEAST_RATIO = 10, 2.0
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -89,7 +90,8 @@ def fit(texts: list[str], labels: np.ndarray, share: float) -> Model:
         np.add.at(q, feature[~one], much[~one].astype(np.float32))
         np.add.at(held, feature, 1)
     ratio = np.log(p / p.sum(dtype=np.float64)) - np.log(q / q.sum(dtype=np.float64))
-    chosen = np.flatnonzero((held >= LEAST_ROWS) & (np.abs(ratio) >= LEAST_RATIO))
+    rarer = min(int((labels == 1).sum()), int((labels != 1).sum()))
+    chosen = np.flatnonzero((held >= max(2, min(LEAST_ROWS, rarer // 10))) & (np.abs(ratio) >= LEAST_RATIO))
     ratio = ratio[chosen].astype(np.float64)
     table = np.zeros(1 << BITS, bool)
     table[chosen] = True
@@ -132,7 +134,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         part = known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
         chosen = part if chosen is None else chosen.unionAll(part)
     text = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = text.join(F.broadcast(chosen), "id").toArrow()  # at most 2 * sample_rows rows are broadcast
+    rows = text.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "id").toArrow()  # at most 2 * sample_rows rows are broadcast
     rows = rows.sort_by([("id", "ascending"), ("text", "ascending")])
     label = np.asarray(rows.column("label"))
     if len(set(label.tolist())) < 2:

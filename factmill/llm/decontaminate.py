@@ -2,8 +2,9 @@
 
 A block of documents is a shard: its words become vocabulary numbers, its suffixes a sorted array, and every benchmark
 suffix a binary search in it. Suffixes that don't begin as any benchmark window does can't hold a match and are left
-out of the array; suffixes equal for as many words as the longest item has stand in text order. No document leaves its
-task, so neither a passage that a third of all documents hold nor a hot source moves or gathers rows.
+out of the array; suffixes equal for as many words as the longest item has stand in text order. Where a suffix's first
+window is found, neighbouring finds join to verbatim matches of full length, and a document's longest one is told with its
+places. No document leaves its task, so neither a passage that a third of all documents hold nor a hot source moves or gathers rows.
 
 Words: after A-Z become a-z, maximal runs of a-z, 0-9 and characters beyond ASCII. They are compared by 64-bit hashes.
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factmill.llm import textarrays as ta
-from factmill.llm.scratch import arrow_rows, written
+from factmill.llm.scratch import arrow_rows, discard, written
 
 #: Bytes of benchmark texts sent to every executor at once; a larger benchmark is searched in several passes.
 ITEM_BYTES = 16 << 20
@@ -53,24 +54,29 @@ class Benchmark:
         number = number.astype(np.int64) + 1
         ends = np.cumsum(n)
         self.items, self.window = ids, window
-        found: dict[int, list[tuple[np.ndarray, int]]] = {}
+        self.rank = np.argsort(np.argsort(np.array(ids, object), kind="stable"), kind="stable") if ids else np.zeros(0, np.int64)
+        self.owner, self.start_of = np.repeat(np.arange(len(n)), n), ends - n
+        found: dict[int, list[tuple[np.ndarray, int, int]]] = {}
         self.suffixes: list[tuple[int, int, np.ndarray]] = []
         for k, (a, b) in enumerate(zip((ends - n).tolist(), ends.tolist(), strict=True)):
             size = min(window, b - a)
             for i in range(a, b - size + 1) if size else ():
-                found.setdefault(size, []).append((number[i : i + size], k))
+                found.setdefault(size, []).append((number[i : i + size], k, i))
                 self.suffixes.append((k, i - a, number[i:b]))
         self.longest = int(n.max(initial=0))
         self.groups = []
         for size, pairs in sorted(found.items()):
-            distinct, which = np.unique(np.array([p for p, _ in pairs]), axis=0, return_inverse=True)
-            owner = np.unique(np.stack((which.reshape(-1), [k for _, k in pairs]), 1), axis=0)
-            self.groups.append((size, distinct, np.searchsorted(owner[:, 0], np.arange(len(distinct) + 1)), owner[:, 1]))
+            distinct, which = np.unique(np.array([p for p, _, _ in pairs]), axis=0, return_inverse=True)
+            which = which.reshape(-1)
+            owner = np.unique(np.stack((which, [k for _, k, _ in pairs]), 1), axis=0)
+            rows = np.arange(len(distinct) + 1)
+            place = np.array([i for _, _, i in pairs], np.int64)[np.argsort(which, kind="stable")]
+            self.groups.append((size, distinct, np.searchsorted(owner[:, 0], rows), owner[:, 1], np.searchsorted(np.sort(which), rows), place))
         self.begin = min([4, *(g[0] for g in self.groups)])
         bits = max(16, (16 * len(self.suffixes)).bit_length())
         self.mask = ta.U64((1 << bits) - 1)
         self.starts = np.zeros(1 << bits, bool)
-        for _, distinct, _, _ in self.groups:
+        for _, distinct, *_ in self.groups:
             self.starts[self._start_hash(distinct.reshape(-1))[:: distinct.shape[1]]] = True
         self.known = np.zeros(1 << 20, bool)
         self.known[self.vocabulary & ta.U64((1 << 20) - 1)] = True
@@ -160,67 +166,119 @@ class Shard:
         return int(common[k]), int(self.at[near[k]])
 
 
-def _scan(bench: Benchmark, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]], np.ndarray]:
-    """Each row's words; hit or not for every word; the items found in each row."""
+def _ragged(first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of `which`, the places first[k] to first[k + 1]: how many, and all of them."""
+    count = np.diff(first)[which]
+    ends = np.cumsum(count)
+    return count, np.repeat(first[which] - ends + count, count) + np.arange(int(count.sum()))
+
+
+def _scan(bench: Benchmark, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]], np.ndarray, np.ndarray]:
+    """Each row's words; hit or not for every word; the items found in each row; where rows' words begin; each row's longest
+    match (words, where it starts in the row, item, where it starts in the item), of 0 words if there is none."""
     h, n = words(raw, offsets)
     shard = bench.shard(h, n)
     begin = np.cumsum(n) - n + np.arange(len(n))
     cover = np.zeros(len(shard.s) + 1, np.int64)
-    pairs = []
-    for size, patterns, first, owners in bench.groups if len(shard.at) else ():
+    pairs, matches = [], []
+    for size, patterns, first, owners, place_first, places in bench.groups if len(shard.at) else ():
         lo, hi = shard.search(patterns)
         some = np.flatnonzero(hi > lo)
+        if not len(some):
+            continue
         many = (hi - lo)[some]
         ends = np.cumsum(many)
         where = shard.at[np.repeat(lo[some] - ends + many, many) + np.arange(int(many.sum()))]
+        window = np.repeat(some, many)
         np.add.at(cover, where, 1)
         np.add.at(cover, where + size, -1)
-        seen = np.unique(np.stack((np.searchsorted(begin, where, "right") - 1, np.repeat(some, many)), 1), axis=0)
-        count = np.diff(first)[seen[:, 1]]
-        ends = np.cumsum(count)
-        item = owners[np.repeat(first[seen[:, 1]] - ends + count, count) + np.arange(int(count.sum()))]
-        pairs.append(np.stack((np.repeat(seen[:, 0], count), item), 1))
+        seen = np.unique(np.stack((np.searchsorted(begin, where, "right") - 1, window), 1), axis=0)
+        count, at = _ragged(first, seen[:, 1])
+        pairs.append(np.stack((np.repeat(seen[:, 0], count), owners[at]), 1))
+        count, at = _ragged(place_first, window)
+        where, place = np.repeat(where, count), places[at]
+        order = np.lexsort((where, where - place))  # a match goes on along a diagonal
+        where, place = where[order], place[order]
+        item = bench.owner[place]
+        fresh = np.ones(len(where), bool)
+        fresh[1:] = (where[1:] - where[:-1] != 1) | (place[1:] - place[:-1] != 1) | (item[1:] != item[:-1])
+        start = np.flatnonzero(fresh)
+        row = np.searchsorted(begin, where[start], "right") - 1
+        matches.append(np.stack((row, np.diff(start, append=len(where)) + size - 1, where[start] - begin[row], item[start], place[start] - bench.start_of[item[start]]), 1))
     found: list[list[int]] = [[] for _ in range(len(n))]
     if pairs:
         for row, item in np.unique(np.concatenate(pairs), axis=0).tolist():
             found[row].append(item)
+    longest = np.zeros((len(n), 4), np.int64)
+    if matches:
+        m = np.concatenate(matches)
+        m = m[np.lexsort((m[:, 4], bench.rank[m[:, 3]], -m[:, 2], m[:, 1]))]
+        longest[m[:, 0]] = m[:, 1:]  # of several the last stays
     at = np.arange(len(h)) + np.repeat(np.arange(len(n)), n)
-    return n, np.cumsum(cover)[at] > 0, found, np.concatenate(([0], np.cumsum(n)))
+    return n, np.cumsum(cover)[at] > 0, found, np.concatenate(([0], np.cumsum(n))), longest
+
+
+class Group:
+    """Items that are searched for at once. What is built of them is kept in a process, not sent."""
+
+    def __init__(self, ids: list[str], texts: list[str]):
+        self.ids, self.texts, self.built = ids, texts, {}
+
+    def __getstate__(self) -> tuple:
+        return self.ids, self.texts
 
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
 
-def _items(items: DataFrame, id_col: str, text_col: str) -> list[tuple[list[str], list[str]]]:
-    """The items in groups of at most ITEM_BYTES, or a single item."""
+    def benchmark(self, window: int) -> Benchmark:
+        if window not in self.built:
+            self.built[window] = Benchmark(self.ids, self.texts, window)
+        return self.built[window]
+
+
+def _items(items: DataFrame, id_col: str, text_col: str) -> tuple[int, Iterator[Group]]:
+    """The items in groups of about ITEM_BYTES, or a single longer item; the driver holds one group at a time."""
     kept = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    total, most = kept.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    groups = 1 + 2 * int(total) // ITEM_BYTES
-    out = []
-    for k in range(groups):
-        rows = (kept if groups == 1 else kept.where(F.pmod(F.xxhash64("id", "text"), F.lit(groups)) == k)).collect()
-        if rows or not out:
-            out.append(([r.id for r in rows], [r.text for r in rows]))
-    return out
+    total = int(kept.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    groups = 1 + 2 * total // ITEM_BYTES
+
+    def read() -> Iterator[Group]:
+        for k in range(groups):
+            rows = (kept if groups == 1 else kept.where(F.pmod(F.xxhash64("id", "text"), F.lit(groups)) == k)).orderBy("id", "text").collect()
+            yield Group([r.id for r in rows], [r.text for r in rows])
+
+    return groups, read()
 
 
 def benchmark_hits(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """One row per document: its id, n_words, the hit stretches of words (`hits`: start and n) and the items found.
+    """One row per document: its id, n_words, the hit stretches of words (`hits`: start and n), the items found, sorted, and
+    the longest verbatim match (words, their start in the document, the item and their start there; null without one).
 
     A window is `window` consecutive words of an item, or all words of a shorter one; a word of a document is hit if
-    it lies inside any occurrence of a window.
+    it lies inside any occurrence of a window. Of equally long matches the one that starts first in the document is told, then
+    that of the greater item id.
     """
     spark = documents.sparkSession
     arrow_rows(spark)
-    groups = _items(items, item_id, item_text)
+    many, groups = _items(items, item_id, item_text)
     base = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"{id_col} {base.schema['id'].dataType.simpleString()}, n_words long, hits array<struct<start:long,n:long>>, items array<string>"
-    if len(groups) > 1:  # rows need a name under which the passes' results meet
-        base = written(base.withColumn("row", F.monotonically_increasing_id()), "passes")
-        parts = [base.mapInArrow(_runner(spark, g, window, id_col, True), f"row long, {schema}") for g in groups]
-        merged = parts[0]
-        for other in parts[1:]:
-            o = other.select("row", F.col("hits").alias("h2"), F.col("items").alias("i2"))
-            merged = written(merged.join(o, "row").select("row", id_col, "n_words", F.expr("concat(hits, h2)").alias("hits"), F.expr("array_distinct(concat(items, i2))").alias("items")), "passes")
-        return merged.select(id_col, "n_words", _joined(F.col("hits")).alias("hits"), "items")
-    return base.mapInArrow(_runner(spark, groups[0], window, id_col, False), schema)
+    schema = f"{id_col} {base.schema['id'].dataType.simpleString()}, n_words long, hits array<struct<start:long,n:long>>, items array<string>, longest struct<n:long,start:long,item:string,item_start:long>"
+    if many == 1:
+        return base.mapInArrow(_runner(spark, next(groups), window, id_col, False), schema)
+    base = written(base.withColumn("row", F.monotonically_increasing_id()), "passes")  # rows need a name under which the passes' results meet
+    merged = None
+    for group in groups:
+        found = base.mapInArrow(_runner(spark, group, window, id_col, True), f"row long, {schema}")
+        if merged is None:
+            merged = written(found, "passes")
+            continue
+        o = found.select("row", F.col("hits").alias("h2"), F.col("items").alias("i2"), F.col("longest").alias("l2"))
+        rank = lambda x: F.struct(x["n"], -x["start"], x["item"], x["item_start"])
+        better = F.when(F.col("longest").isNull() | (rank(F.col("l2")) > rank(F.col("longest"))), F.coalesce("l2", "longest")).otherwise(F.col("longest"))
+        joined = merged.join(o, "row").select("row", id_col, "n_words", F.expr("concat(hits, h2)").alias("hits"), F.expr("array_sort(array_distinct(concat(items, i2)))").alias("items"), better.alias("longest"))
+        before, merged = merged, written(joined, "passes")
+        discard(before)
+    return merged.select(id_col, "n_words", _joined(F.col("hits")).alias("hits"), "items", "longest")
 
 
 def _joined(spans: F.Column) -> F.Column:
@@ -237,21 +295,23 @@ def _joined(spans: F.Column) -> F.Column:
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
-def _runner(spark, group: tuple[list[str], list[str]], window: int, id_col: str, named: bool):
+def _runner(spark, group: Group, window: int, id_col: str, named: bool):
     sent = spark.sparkContext.broadcast(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(*sent.value, window)
+        bench = sent.value.benchmark(window)
         spans = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())]))
+        match = pa.struct([("n", pa.int64()), ("start", pa.int64()), ("item", pa.string()), ("item_start", pa.int64())])
         for batch in batches:
             raw, offsets = ta.flat(batch.column(1))
             for a, b in ta.blocks(offsets):
-                n, hit, found, word = _scan(bench, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                n, hit, found, word, most = _scan(bench, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 start, end, row = ta.runs(hit, word)
                 hits = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b - a + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(start - word[row]), pa.array(end - start)], ["start", "n"])).cast(spans)
                 names = pa.array([sorted({bench.items[k] for k in x}) for x in found], pa.list_(pa.string()))
-                columns = [batch.column(0)[a:b], pa.array(n, pa.int64()), hits, names]
-                labels = [id_col, "n_words", "hits", "items"]
+                longest = pa.array([{"n": m[0], "start": m[1], "item": bench.items[m[2]], "item_start": m[3]} if m[0] else None for m in most.tolist()], match)
+                columns = [batch.column(0)[a:b], pa.array(n, pa.int64()), hits, names, longest]
+                labels = [id_col, "n_words", "hits", "items", "longest"]
                 yield pa.RecordBatch.from_arrays(([batch.column(2)[a:b]] if named else []) + columns, (["row"] if named else []) + labels)
 
     return run
@@ -266,11 +326,11 @@ def longest_matches(documents: DataFrame, items: DataFrame, id_col: str = "doc_i
     arrow_rows(spark)
     base = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = None
-    for group in _items(items, item_id, item_text):
+    for group in _items(items, item_id, item_text)[1]:
         sent = spark.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(*sent.value, window)
+            bench = sent.value.benchmark(window)
             for batch in batches:
                 raw, offsets = ta.flat(batch.column(1))
                 for a, b in ta.blocks(offsets):
@@ -298,16 +358,16 @@ def remove_contaminated(documents: DataFrame, items: DataFrame, text_col: str =
     arrow_rows(spark)
     column = documents.columns.index(text_col)
     out = documents
-    for group in _items(items, item_id, item_text):
+    for group in _items(items, item_id, item_text)[1]:
         sent = spark.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(*sent.value, window)
+            bench = sent.value.benchmark(window)
             for batch in batches:
                 raw, offsets = ta.flat(batch.column(column))
                 clean = np.ones(batch.num_rows, bool)
                 for a, b in ta.blocks(offsets):
-                    n, hit, _, word = _scan(bench, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    n, hit, _, word, _ = _scan(bench, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     clean[a:b] = np.diff(np.concatenate(([0], np.cumsum(hit)))[word]) == 0
                 if clean.any():
                     yield batch.filter(pa.array(clean))

@@ -30,7 +30,9 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-    )
+        F.coalesce("longest.n", F.lit(0)).alias("longest_words"),
+        "longest.start",
+    ).withColumnRenamed("start", "longest_start")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,8 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _held_out(doc_id: str) -> F.Column:
-    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+    """A row without an id isn't held out: no label can be its own."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str):
@@ -175,11 +178,14 @@ wi AS (SELECT DISTINCT item_id, size, array_to_string(w[k:k + size - 1], ' ') AS
 dw AS (SELECT doc_id, size, k, array_to_string(w[k:k + size - 1], ' ') AS t
        FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM wi))),
 hit AS (SELECT doc_id, dw.k, wi.size, item_id FROM dw JOIN wi USING (size, t)),
+wp AS (SELECT row, size, k AS g, array_to_string(w[k:k + size - 1], ' ') AS t FROM (SELECT w, size, row_number() OVER () AS row, unnest(range(1, len(w) - size + 2)) AS k FROM s)),
+chain AS (SELECT doc_id, size, dw.k, row, dw.k - g AS diagonal, dw.k - row_number() OVER (PARTITION BY doc_id, row, dw.k - g ORDER BY dw.k) AS island FROM dw JOIN wp USING (size, t)),
+long AS (SELECT doc_id, max(n) AS longest_words, CAST(arg_min(k, (-n, k)) - 1 AS BIGINT) AS longest_start FROM (SELECT doc_id, count(*) + any_value(size) - 1 AS n, min(k) AS k FROM chain GROUP BY doc_id, row, diagonal, island) GROUP BY 1),
 n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM hit) GROUP BY 1),
 m AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest_words, 0) AS longest_words, longest_start
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN long USING (doc_id)""",
     "op10_suffix_dedup": """
 WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 b AS (SELECT doc_id, x, unnest(range(0, length(x) // 2)) AS p FROM h),

@@ -162,10 +162,25 @@ def brute_hits(texts, items):
     return out
 
 
+def brute_longest(text, items, window=10):
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    w, best = split(text), None
+    for _, t in items:
+        p = split(t)
+        for i in range(len(w)):
+            for j in range(len(p)):
+                n = 0
+                while i + n < len(w) and j + n < len(p) and w[i + n] == p[j + n]:
+                    n += 1
+                if p and n >= min(window, len(p)) and (best is None or (n, -i) > (best[0], -best[1])):
+                    best = (n, i)
+    return best
+
+
 ITEMS = [(1, " ".join(TEXTS[15].split(" ")[12:30])), (2, "w1"), (3, None), (4, "..."), (None, "w2 w3"), (10, TEXTS[20]), (10, "w5, W6"), (11, "zz " * 12), (12, TEXTS[33][:2000])]
 
 
-@pytest.mark.parametrize("most", [decontaminate.ITEM_BYTES, 700])
+@pytest.mark.parametrize("most", [decontaminate.ITEM_BYTES, 3000])
 def test_benchmark_hits(spark, monkeypatch, most):
     monkeypatch.setattr(decontaminate, "ITEM_BYTES", most)
     texts = [*TEXTS, "W1", "zz " * 30, "w5 w6 w5 W6"]
@@ -174,7 +189,8 @@ def test_benchmark_hits(spark, monkeypatch, most):
     want = brute_hits(texts, [i for i in ITEMS if i[0] is not None])
     assert len(got) == len(texts)
     for k, (n, hit, found) in enumerate(want):
-        assert (got[k]["n_words"], sum(h["n"] for h in got[k]["hits"]), sorted(got[k]["items"])) == (n, hit, found)
+        assert (got[k]["n_words"], sum(h["n"] for h in got[k]["hits"]), got[k]["items"]) == (n, hit, found)
+        assert (got[k]["longest"] and got[k]["longest"][:2]) == brute_longest(texts[k], [i for i in ITEMS if i[0] is not None])
     left = decontaminate.remove_contaminated(docs, items)
     assert left.columns == docs.columns
     assert sorted(r["doc_id"] for r in left.collect()) == [k for k, w in enumerate(want) if not w[1]]
@@ -326,6 +342,31 @@ def test_nearest_few_and_none(spark):
     assert ann.nearest(df.limit(0), lambda i: i == 0).count() == 0
 
 
+@pytest.mark.parametrize("rows", [40, 3000])
+def test_nearest_repeated_ids(spark, rows):
+    """Rows, not ids, are queries and candidates; 3,000 rows in one task make it rank by codes."""
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(rows, 8)), 1)
+    ids = [k // 2 for k in range(rows)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").coalesce(1)
+    got = defaultdict(list)
+    for r in ann.nearest(df, lambda i: i % 10 == 0, k=5).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    hit = many = 0
+    for q in sorted(set(ids)):
+        if q % 10:
+            assert q not in got
+            continue
+        assert sorted(r[0] for r in got[q]) == sorted(2 * [1, 2, 3, 4, 5])
+        want = []
+        for own in (2 * q, 2 * q + 1):
+            d = np.sqrt(((x - x[own]) ** 2).sum(1))
+            want += sorted((d[k], ids[k]) for k in range(rows) if k != own)[:5]
+        many += len(want)
+        hit += len({(s, i) for _, i, s in got[q]} & set(want)) / len(set(want)) * len(want)
+    assert hit >= 0.9 * many
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -439,6 +480,17 @@ def test_components(spark):
     assert sorted(map(sorted, got.values())) == [list(range(41)), [50, 51], [99, 100]]
 
 
+def test_components_rounds(spark, monkeypatch):
+    from factmill.llm import components as module
+
+    rounds = []
+    monkeypatch.setattr(module, "written", lambda df, name, real=module.written: rounds.append(name) or real(df, name))
+    edges = spark.range(2000).selectExpr("id as a", "id + 1 as b")
+    got = components(edges)
+    assert got.where("root = 0").count() == 2001 and got.count() == 2001
+    assert len(rounds) <= 2 * 14 + 1
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -516,6 +568,22 @@ def test_packing(spark):
     assert packing.pack_documents(documents(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 7, 32, 64])
+def test_packing_short_windows(spark, most):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = documents(spark, ["w " * 100, None, "a. b. c", "x" * 300], [3, 1, 2, 0]).coalesce(1)
+    rows = packing.pack_documents(docs, path, most=most).collect()
+    filled = defaultdict(int)
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == filled[r["sequence_id"]]
+        filled[r["sequence_id"]] += r["length"]
+    assert max(filled.values()) <= most
+    for d in (0, 1, 2, 3):
+        mine = sorted((r["start"], r["length"], r["doc_tokens"]) for r in rows if r["doc_id"] == d)
+        assert [s for s, _, _ in mine] == [sum(n for _, n, _ in mine[:k]) for k in range(len(mine))]
+        assert sum(n for _, n, _ in mine) == mine[0][2]
+
+
 def test_cuts_are_optimal():
     r = random.Random(1)
     for _ in range(40):

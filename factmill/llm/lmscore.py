@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factmill.llm import textarrays as ta
-from factmill.llm.scratch import arrow_rows, release, shuffle_partitions, written
+from factmill.llm.scratch import arrow_rows, discard, release, shuffle_partitions, written
 
 #: Words that smoothing allows for at least, the weight of the pair counts, and bytes of text that are counted together.
 VOCABULARY, MIX, CHUNK_BYTES = 1 << 18, 0.6, 18 << 20
@@ -128,6 +128,10 @@ class Models:
     words: int  #: distinct words of all documents
     vocabulary: int  #: V of the smoothing
 
+    def discard(self) -> None:
+        """Deletes the table, once all that is to be scored has been handed to score_documents."""
+        discard(self.table)
+
 
 def train(documents: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
     """Counts every word and pair, in the target documents and in all documents."""
@@ -178,7 +182,7 @@ def train(documents: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", t
     sums = table.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "given", "counted"))).first()
     del sent
     release(spark)
-    return Models(table.select("bucket", "grams"), buckets, (sums[1], sums[2]), sums[0], max(VOCABULARY, sums[0]))
+    return Models(table, buckets, (sums[1], sums[2]), sums[0], max(VOCABULARY, sums[0]))
 
 
 def _few(ids: DataFrame, most: int = 500_000) -> bool:

@@ -15,7 +15,10 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = _table(spark, sf_dir, "documents")
     curated = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
-    return score_documents(documents, train(documents, curated))
+    models = train(documents, curated)
+    scored = score_documents(documents, models)
+    models.discard()  # its counts stand in the written answers now
+    return scored
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Units of account and their size in the base unit, longest name first.
-UNITS = {"hundred million": 100_000_000, "ten million": 10_000_000, "million": 1_000_000, "ten thousand": 10_000, "thousand": 1_000, "yuan": 1}
+# Units of account and their size in yuan, those that others end in last, and the codes they go by.
+UNITS = {"千万元": 10_000_000, "百万元": 1_000_000, "亿元": 100_000_000, "万元": 10_000, "千元": 1_000, "元": 1}
+UNIT_CODES = {"qianwan_yuan": 10_000_000, "baiwan_yuan": 1_000_000, "yi_yuan": 100_000_000, "wan_yuan": 10_000, "qian_yuan": 1_000, "yuan": 1}
 # Texts that stand for "no amount".
 EMPTY_AMOUNTS = ("", "-", "--", "—", "——", "n/a", "na", "不适用", "无")
-# Suffixes of hosts and their grades; other hosts get the last grade.
-HOST_GRADES = (("A", r"\.gov(\.[a-z]{2})?$"), ("B", r"\.(edu|org)(\.[a-z]{2})?$"), ("C", r"\.(com|net|io)(\.[a-z]{2})?$"))
+# The domains of each grade of source; others have the last one.
+HOST_GRADES = {
+    "A": ("gov.cn", "csrc.gov.cn", "sse.com.cn", "szse.cn", "bse.cn", "ndrc.gov.cn", "pbc.gov.cn", "miit.gov.cn", "samr.gov.cn", "stats.gov.cn", "cma.gov.cn"),
+    "B": ("cninfo.com.cn",),
+    "C": ("eastmoney.com", "10jqka.com.cn", "sina.com.cn", "163.com", "thepaper.cn", "yicai.com", "cls.cn", "stcn.com", "caixin.com", "hexun.com", "xueqiu.com", "cnstock.com"),
+}
+# The numberings of headings, in the order in which they are tried, with their levels, and what is no heading.
+HEADINGS = (
+    (r"^第[一二三四五六七八九十百零\d]+[节章]\s*[：:]*\s*(.*)", 1),
+    (r"^[一二三四五六七八九十]+、\s*(.*)", 1),
+    (r"^（[一二三四五六七八九十]+）\s*(.*)", 2),
+    (r"^\d+\.?\d*\s+(.*)", 2),
+    (r"^\d+\.\d+(?:\.\d+)?\s+(.*)", 3),
+)
+NO_HEADING = r"^\d{4}年|^\d{2,4}万|^\d{2,4}亿|^\d+%|^\d+元|^\d+人"
 
 
 def squashed(text: Column) -> Column:
@@ -70,15 +84,16 @@ def display_increment(text: Column) -> Column:
 
 
 def unit_scale(unit: Column) -> Column:
+    """Yuan to one unit, by name or code; an unknown unit has no scale."""
     out = F.lit(None).cast("long")
-    for name, scale in reversed(UNITS.items()):
+    for name, scale in (UNITS | UNIT_CODES).items():
         out = F.when(F.lower(F.trim(unit)) == name, F.lit(scale).cast("long")).otherwise(out)
     return out
 
 
 def unit_of(text: Column) -> Column:
     """The first unit, longest names before shorter ones, that the text mentions."""
-    return F.coalesce(*(F.when(F.contains(F.lower(text), F.lit(name)), F.lit(name)) for name in UNITS))
+    return F.coalesce(*(F.when(F.contains(text, F.lit(name)), F.lit(name)) for name in UNITS))
 
 
 def safe_divide(a: Column, b: Column) -> Column:
@@ -148,19 +163,34 @@ def host(url: Column) -> Column:
 
 
 def host_grade(url: Column) -> Column:
+    """The grade of a URL's host: one of the graded domains, or a host below one."""
     name = host(url)
     out = F.lit("D")
-    for grade, pattern in reversed(HOST_GRADES):
-        out = F.when(name.rlike(pattern), grade).otherwise(out)
+    for grade in ("C", "B", "A"):
+        own = name.isin(*HOST_GRADES[grade])
+        for d in HOST_GRADES[grade]:
+            own = own | name.endswith(f".{d}")
+        out = F.when(own, grade).otherwise(out)
     return out
 
 
 def heading_level(line: Column) -> Column:
-    """The level of a heading line by its numbering: 1 for 'N.', 2 for 'N.N', 3 for 'N.N.N', 4 for '(N)'; else null."""
-    plain = F.trim(line)
-    money = plain.rlike(r"^[0-9,.]+\s*(%|million|thousand|yuan|万|亿|元)") | plain.rlike(r"^(19|20)[0-9]{2}\b")
-    level = F.when(plain.rlike(r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{1,2}\s"), 3).when(plain.rlike(r"^[0-9]{1,2}\.[0-9]{1,2}\s"), 2).when(plain.rlike(r"^[0-9]{1,2}\.\s"), 1).when(plain.rlike(r"^\([0-9]{1,2}\)"), 4)
-    return F.when((F.length(plain) <= 60) & ~money, level)
+    """The level of a heading line by its numbering; null if it is none, has over 60 characters or begins with an amount."""
+    s = F.trim(line)
+    level = F.lit(None).cast("int")
+    for pattern, n in reversed(HEADINGS):
+        level = F.when(s.rlike(pattern), n).otherwise(level)
+    return F.when((s != "") & (F.length(s) <= 60) & ~s.rlike(NO_HEADING), level)
+
+
+def heading_title(line: Column) -> Column:
+    """A heading's title without its numbering, or the whole line if nothing else stands there; at most 50 characters."""
+    s = F.trim(line)
+    title = F.lit(None).cast("string")
+    for pattern, _ in reversed(HEADINGS):
+        title = F.when(s.rlike(pattern), F.trim(F.regexp_extract(s, pattern, 1))).otherwise(title)
+    whole = F.when(title == "", s).otherwise(title)
+    return F.when(F.length(whole) > 50, F.concat(F.left(whole, F.lit(50)), F.lit("…"))).otherwise(whole)
 
 
 def main_text(html: Column) -> Column:

@@ -34,19 +34,21 @@ def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
 
 
 def page_furniture(pages: DataFrame, document: str, text: str) -> DataFrame:
-    """Lines that begin or end many of a document's pages: (document, place, line, n) with n >= max(2, a fifth of the pages)."""
+    """Lines that begin or end many of a document's pages: (document, place, line, n) with n >= max(2, a fifth of the pages).
+
+    A page's only line is its first, not its last."""
     lines = F.filter(F.transform(F.split(F.col(text), "\n"), C.without_space), lambda x: x != "")
     ends = pages.select(F.col(document).alias("document"), lines.alias("lines")).where(F.size("lines") > 0)
-    both = F.array(F.struct(F.lit("header").alias("place"), F.element_at("lines", 1).alias("line")), F.struct(F.lit("footer").alias("place"), F.element_at("lines", -1).alias("line")))
-    counted = ends.select("document", F.explode(both).alias("x")).groupBy("document", "x.place", "x.line").agg(F.count("*").alias("n"))
+    both = F.array(F.struct(F.lit("header").alias("place"), F.element_at("lines", 1).alias("line")), F.struct(F.lit("footer").alias("place"), F.when(F.size("lines") > 1, F.element_at("lines", -1)).alias("line")))
+    counted = ends.select("document", F.explode(both).alias("x")).where("x.line is not null").groupBy("document", "x.place", "x.line").agg(F.count("*").alias("n"))
     sizes = pages.groupBy(F.col(document).alias("document")).agg(F.count("*").alias("pages"))
     return counted.join(sizes, "document").where(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("pages") * 0.2))).select("document", "place", "line", "n")
 
 
 def headings(lines: DataFrame, text: str = "line") -> DataFrame:
-    """The lines that are numbered headings, with their level and a title of at most 50 characters."""
+    """The lines that are numbered headings, with their level and title."""
     level = C.heading_level(F.col(text))
-    return lines.withColumn("level", level).where("level is not null").withColumn("title", F.substring(F.trim(F.col(text)), 1, 50))
+    return lines.withColumn("level", level).where("level is not null").withColumn("title", C.heading_title(F.col(text)))
 
 
 def carried(rows: DataFrame, key: list[str], order: list[str], value: Column, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factmill.functions import columns as C
 from factmill.operators import claims as cx
 from factmill.operators import retrieval as rx
+from factmill.plans.evidence import GRADE_SQL, GRADED_URL
 
 ALIASES = [("small", "SIZE_SMALL", "large"), ("red", "COLOR_RED", "none"), ("blue", "COLOR_BLUE", "none"), ("large", "SIZE_LARGE", "small"), ("part", "PART", "red"), ("green", "COLOR_GREEN", "none")]
 
@@ -91,7 +92,7 @@ def focus_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _t(spark, sf_dir, "pages").select(F.length("html").alias("n"), C.host(F.col("url")).alias("host"), C.host_grade(F.col("url")).alias("grade"))
+    p = _t(spark, sf_dir, "pages").select(F.length("html").alias("n"), F.expr(GRADED_URL).alias("url")).select("n", C.host(F.col("url")).alias("host"), C.host_grade(F.col("url")).alias("grade"))
     return cx.sufficiency(p.withColumn("topic", F.col("n") % 10), "topic")
 
 
@@ -115,7 +116,6 @@ _ISSUES = """i AS (SELECT o_orderkey, 'blocking_policy' AS rule, 'blocking' AS s
 UNION ALL SELECT o_orderkey, 'coverage', 'rework', 1 FROM orders WHERE o_totalprice < 50000 UNION ALL SELECT o_orderkey, 'citation', 'rework', 1 FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'
 UNION ALL SELECT o_orderkey, 'freshness', 'warning', 2 FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')"""
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '^www\.', '')"
-_GRADE = r"CASE WHEN regexp_matches(host, '\.gov(\.[a-z]{2})?$') THEN 'A' WHEN regexp_matches(host, '\.(edu|org)(\.[a-z]{2})?$') THEN 'B' WHEN regexp_matches(host, '\.(com|net|io)(\.[a-z]{2})?$') THEN 'C' ELSE 'D' END"
 
 ORACLE_SQL = {
     "claim_values": """WITH l AS (SELECT l_orderkey, CAST(l_extendedprice AS DECIMAL(14,2)) AS amount, l_returnflag AS unit FROM lineitem), c AS (SELECT l_orderkey, max(amount) + l_orderkey % 2 AS value FROM l GROUP BY l_orderkey),
@@ -136,7 +136,7 @@ SELECT lang, CASE WHEN u AND w THEN 'both' WHEN u THEN 'up' WHEN w THEN 'down' E
 SELECT part.p_partkey, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS state, CASE WHEN n = 1 THEN code END AS code FROM part LEFT JOIN n USING (p_partkey)""",
     "marker_fill": "SELECT s_suppkey, 'Balance ' || s_name || ' in nation ' || n_name || ', see {{fact:none}}' || CASE WHEN s_suppkey % 3 = 0 THEN ' 42' ELSE '' END AS filled, CAST(3 AS BIGINT) AS n_markers, s_suppkey % 3 = 0 AS bare FROM supplier JOIN nation ON n_nationkey = s_nationkey",
     "focus_split": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) <= 5 AS focus FROM orders",
-    "source_sufficiency": f"""WITH h AS (SELECT length(html) % 10 AS topic, {_HOST} AS host FROM pages), g AS (SELECT *, {_GRADE} AS grade FROM h)
+    "source_sufficiency": f"""WITH h AS (SELECT length(html) % 10 AS topic, {_HOST} AS host FROM (SELECT html, {GRADED_URL} AS url FROM pages)), g AS (SELECT *, {GRADE_SQL} AS grade FROM h)
 SELECT CAST(topic AS INTEGER) AS topic, count(*) FILTER (grade IN ('A', 'B')) AS strong, count(DISTINCT CASE WHEN grade = 'C' THEN host END) AS independent, count(*) FILTER (grade IN ('A', 'B')) >= 1 OR count(DISTINCT CASE WHEN grade = 'C' THEN host END) >= 2 AS sufficient FROM g GROUP BY 1""",
     "boosted_rank": """WITH l AS (SELECT l_suppkey AS query, l_orderkey * 10 + l_linenumber AS doc, l_returnflag AS kind, max(l_extendedprice) AS s FROM lineitem GROUP BY ALL),
 r AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY s * CASE kind WHEN 'A' THEN CAST(1.25 AS DOUBLE) WHEN 'R' THEN CAST(0.95 AS DOUBLE) ELSE 1 END DESC, doc) AS rank FROM l) SELECT query, doc, rank FROM r WHERE rank <= 4""",

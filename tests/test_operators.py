@@ -52,15 +52,16 @@ def test_tokens(spark):
 
 
 def test_units_and_display(spark):
-    df = spark.createDataFrame([("million", Decimal("123456789.50")), ("furlong", Decimal("9999.00")), (None, None)], "u string, v decimal(20,2)")
+    df = spark.createDataFrame([("baiwan_yuan", Decimal("123456789.50")), ("furlong", Decimal("9999.00")), ("万元", None), (None, None)], "u string, v decimal(20,2)")
     rows = df.select(C.unit_scale(F.col("u")).alias("s"), C.large_number(F.col("v")).alias("v")).collect()
-    assert [(r["s"], r["v"]) for r in rows] == [(1_000_000, "1.23亿"), (None, "9999"), (None, None)]
+    assert [(r["s"], r["v"]) for r in rows] == [(1_000_000, "1.23亿"), (None, "9999"), (10_000, None), (None, None)]
 
 
 def test_host_grade(spark):
     assert one(spark, C.host_grade(F.col("t")), t="https://www.stats.gov.cn/x?y") == "A"
-    assert one(spark, C.host_grade(F.col("t")), t="http://user@example.org:80/") == "B"
-    assert one(spark, C.host_grade(F.col("t")), t="ftp://files.example.xyz") == "D"
+    assert one(spark, C.host_grade(F.col("t")), t="http://user@static.cninfo.com.cn:80/") == "B"
+    assert one(spark, C.host_grade(F.col("t")), t="ftp://finance.sina.com.cn/x") == "C"
+    assert one(spark, C.host_grade(F.col("t")), t="http://notsina.com.cn") == "D"
 
 
 def chunks_of(text, size, overlap):

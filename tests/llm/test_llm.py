@@ -677,3 +677,21 @@ def test_pipeline(spark):
             assert sorted(after) == [d for d, h in zip(order, hits, strict=True) if not h[1]]
     pieces = corpus_pipeline.STAGES[-1][1](spark, rows, SMALL)
     assert {r["doc_id"] for r in pieces.collect()} == set(after)
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    """Operators 1, 4 and 6: an empty table gives no rows; equal rows are scored and counted one by one, and alike."""
+    none = documents(spark, [])
+    ids = spark.createDataFrame([(1,)], "doc_id long")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    twice = documents(spark, ["a b c d", "a b c d", "w x y z"], [1, 1, 2])
+    assert lmscore.score_documents(none, lmscore.train(none, ids)).count() == 0
+    got = lmscore.score_documents(twice, lmscore.train(twice, ids)).collect()
+    assert len(got) == 3 and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256
+    assert tokencounts.scan_tokens(tokencounts.write_tokens(none, *args), 50256).count() == 0
+    counted = tokencounts.scan_tokens(tokencounts.write_tokens(twice, *args), 50256).collect()
+    assert sorted(r["doc_id"] for r in counted) == [1, 1, 2] and len({r["n_tokens"] for r in counted if r["doc_id"] == 1}) == 1
+    assert toxicity.score_documents(none, toxicity.train(none, labels)).count() == 0
+    scored = toxicity.score_documents(twice, toxicity.train(twice, labels)).collect()
+    assert len(scored) == 3 and len({r["score"] for r in scored if r["doc_id"] == 1}) == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factmill.llm.scratch import written
+from factmill.sources.shared import written
 
 
 def head(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -17,14 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factmill.llm.scratch import arrow_rows, written
 
-#: Tokens of a block, and blocks of a run.
-BLOCK_TOKENS, RUN = 1 << 19, 1024
+#: Tokens of a block, blocks of a run, and bytes of raw files for a task.
+BLOCK_TOKENS, RUN, TASK_BYTES = 1 << 19, 1024, 64 << 20
 
 BLOCKS = "file long, block long, tokens binary, docs array<long>"
 _ENCODERS: dict[str, object] = {}
@@ -80,12 +81,28 @@ def write_tokens(documents: DataFrame, ranks: str, pattern: str, eod: int, id_co
 
 
 def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Raw token files of less than 2 GB each, as a table of blocks."""
+    """Raw token files of any size, as a table of blocks, one at least for each file.
+
+    Spark lists the files; each block's bytes are read by the task that searches it, so one file is the work of many tasks
+    and none holds more than a block. Tasks open files with Arrow's file systems: local or shared folders, hdfs, s3, gs.
+    """
     size = 2 * block_tokens
-    files = spark.read.format("binaryFile").load(path)
-    n = F.greatest(F.ceil(F.col("length") / size), F.lit(1))
-    blocks = files.select(F.xxhash64("path").alias("file"), "content", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("block"))
-    return blocks.select("file", F.col("block").cast("long").alias("block"), F.expr(f"substring(content, block * {size} + 1, {size})").alias("tokens"), F.expr("cast(array() as array<long>)").alias("docs"))
+    files = spark.read.format("binaryFile").load(path).select("path", F.greatest(F.ceil(F.col("length") / size), F.lit(1)).alias("n"))
+    total = files.agg(F.sum("n")).first()[0] or 1
+    ranges = files.select(F.xxhash64("path").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"), "path")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, block, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                local = name.removeprefix("file:") if name.startswith("file:") else None
+                system, at = (fs.LocalFileSystem(), "/" + local.lstrip("/")) if local else fs.FileSystem.from_uri(name)
+                with system.open_input_file(at) as f:
+                    f.seek(block * size)
+                    some = f.read(size)
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([some], pa.binary()), pa.array([[]], pa.list_(pa.int64()))], ["file", "block", "tokens", "docs"])
+
+    tasks = -(-total * size // TASK_BYTES)
+    return ranges.repartition(tasks, "file", "block").mapInArrow(read, BLOCKS)
 
 
 def scan_tokens(blocks: DataFrame, eod: int) -> DataFrame:

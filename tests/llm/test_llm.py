@@ -308,6 +308,22 @@ def test_raw_token_files(spark, tmp_path):
         assert sorted(found.values()) == sorted([[(0, 1, True), (2, 0, True), (3, 4, True), (8, 2, False)], [(0, 0, True)], [(0, 7, False)]])
 
 
+def test_one_raw_token_file_is_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokencounts, "TASK_BYTES", 2000)
+    ids = np.random.default_rng(1).integers(0, 60, 20_000).astype("<u2")
+    (tmp_path / "a name").mkdir()
+    ids.tofile(tmp_path / "a name" / "a.bin")
+    blocks = tokencounts.read_token_files(spark, str(tmp_path / "a name"), 100)
+    assert blocks.rdd.getNumPartitions() == 20 and blocks.count() == 200
+    ends = np.flatnonzero(ids == 9)
+    want = [(int(b) + 1, int(e - b - 1)) for b, e in zip(np.concatenate([[-1], ends[:-1]]), ends, strict=True)]
+    got = sorted((r["start"], r["n_tokens"]) for r in tokencounts.scan_tokens(blocks, 9).where("ended").collect())
+    assert got == want
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "a.bin").write_bytes(b"")
+    assert tokencounts.scan_tokens(tokencounts.read_token_files(spark, str(tmp_path / "none")), 9).count() == 0
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 
 

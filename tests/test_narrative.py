@@ -104,3 +104,47 @@ def test_covering(spark):
     rows = [(1, "a", [1, 2]), (1, "b", [2, 1, 3]), (1, "c", [4]), (1, "d", [4]), (2, "e", [])]
     df = spark.createDataFrame(rows, "k int, id string, m array<int>")
     assert sorted(r["id"] for r in rx.covering(df, "k", "id", "m").collect()) == ["b", "c", "e"]
+
+
+def shuffles(df):
+    """Exchanges of the plan as it is before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+@pytest.mark.parametrize("query", ["section_issues"])
+def test_section_rules_meet_after_one_shuffle(spark, query):
+    from factmill.plans import registry
+
+    assert shuffles(registry.QUERIES[query](spark, "/root/testdata/sf0.001")) == 1
+
+
+def section_tables(spark):
+    """Section 1 with two rows of one claim, 2 empty and hiding nothing, 3 without a row of its own."""
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    sections = rows([(1, "COMPLETED", "x"), (2, "COMPLETED", " "), (None, "COMPLETED", "x")], "section_id int, status string, markdown string")
+    topics = rows([(1, "t0"), (1, "t1")], "section_id int, topic_id string")
+    questions = rows([(1, "q0", ["SECTION_BLOCKED"], ["收入", ""]), (1, "q1", None, [])], "section_id int, question_id string, policy array<string>, aspects array<string>")
+    claims = rows([(1, "a", "t0", ["q0"], "fact", "不存在违约", True, False)] * 2 + [(3, None, "t0", ["q0"], "fact", "预计增长", True, False)], "section_id int, claim_id string, topic_id string, question_ids array<string>, claim_type string, text string, impact boolean, derived boolean")
+    refs = rows([(1, "a", "external", None, None, None, None, None, False, "D"), (1, "a", "structured", "s", "authority_unavailable", True, "12%", False, True, None), (3, None, "external", None, "page_mismatch", None, None, None, True, "D")], "section_id int, claim_id string, ref_type string, snapshot_id string, reason string, known boolean, display string, proxy boolean, dated boolean, grade string")
+    gaps = rows([(1, "u", "q0", "t9", "NOT_FOUND_AFTER_SEARCH", ["JOB_BLOCKED"]), (1, "v", None, "t9", "CONFLICT", [])], "section_id int, unresolved_id string, question_id string, topic_id string, state string, effects array<string>")
+    return sections, topics, questions, claims, refs, gaps
+
+
+def test_section_issues(spark):
+    got = {tuple(r) for r in sx.section_issues(sx.section_parts(*section_tables(spark))).collect()}
+    assert got == {
+        (1, "blocking_policy_mismatch", "blocking", "unresolved:u", 1),
+        (1, "conflict_unresolved", "blocking", "unresolved:v", 1),
+        (1, "status_not_blocked", "blocking", "section", 1),
+        (2, "empty_section", "blocking", "section", 1),
+        (1, "coverage_missing_topic", "rework", "topic:t1", 1),
+        (1, "coverage_missing_question", "rework", "question:q1", 1),
+        (1, "aspect_uncovered", "warning", "question:q0", 1),
+        (1, "external_missing_date", "warning", "claim:a", 2),
+        (1, "financial_value_mismatch", "rework", "claim:a", 2),
+        (1, "citation_authority_unavailable", "warning", "ref_type:structured", 1),
+        (1, "d_source_sole_basis", "rework", "claim:a", 2),
+        (1, "absence_contradicts_gap", "rework", "claim:a", 2),
+        (3, "claim_missing_citation", "rework", None, 1),
+        (3, "fact_hedged", "rework", None, 1),
+    }

@@ -111,7 +111,7 @@ def shuffles(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
 
 
-@pytest.mark.parametrize("query", ["section_issues"])
+@pytest.mark.parametrize("query", ["section_issues", "section_verdicts"])
 def test_section_rules_meet_after_one_shuffle(spark, query):
     from factmill.plans import registry
 
@@ -148,3 +148,8 @@ def test_section_issues(spark):
         (3, "claim_missing_citation", "rework", None, 1),
         (3, "fact_hedged", "rework", None, 1),
     }
+
+
+def test_section_verdicts(spark):
+    got = {tuple(r) for r in sx.verdicts(sx.section_parts(*section_tables(spark))).collect()}
+    assert got == {(1, 3, 8, 4, False), (2, 1, 0, 0, False), (None, 0, 0, 0, True)}

@@ -56,38 +56,45 @@ def record_sets(records: DataFrame, key: list[str]) -> DataFrame:
 
 
 def checked_decisions(items: DataFrame, groups: DataFrame, records: DataFrame) -> DataFrame:
-    """Every decision (batch, at, group_id, accepted, rejected, reason, note) with its first error, null if it has none, and
+    """`decided`, with the items' groups (group_id, state, decided, members) and their records (record_id, std_value,
+    quarantined) from tables of their own. Records are looked up once for each group, not for each item on it."""
+    looked = groups.select("group_id", F.explode("members").alias("record_id")).join(records, "record_id", "left")
+    facts = looked.groupBy("group_id").agg(F.collect_list(F.struct("record_id", "std_value", "quarantined")).alias("facts"))
+    group = F.struct("state", "decided", F.coalesce("facts", F.array()).alias("members"))
+    return decided(items.join(groups.join(facts, "group_id", "left").select("group_id", group.alias("group")), "group_id", "left"))
+
+
+def decided(items: DataFrame) -> DataFrame:
+    """What is wrong with each item (batch, at, group_id, accepted, rejected, reason, note) of a batch of decisions on values, and
     whether its batch may be written: all of it or nothing.
 
-    A group (group_id, state, decided, members) must be in conflict and undecided; accepted records are some, none of them
-    rejected, both together are the group, none quarantined, and share one value. A repeated group is an error from its
-    second item on. Records: (record_id, std_value, quarantined).
+    Its group (state, decided, members; null if there is none) must be in conflict and undecided; accepted records are some, none
+    of them rejected, both together are the group, none quarantined, and share one value. A repeated group is an error from its
+    second item on. Members are (record_id, std_value, quarantined), without a value if no such record is known.
     """
-    repeat = F.row_number().over(Window.partitionBy("batch", "group_id").orderBy("at")) > 1
-    met = items.withColumn("repeat", repeat).join(groups, "group_id", "left")
-    members = met.where("members is not null").select("batch", "at", "accepted", F.explode("members").alias("record_id")).join(records, "record_id", "left")
-    mine = F.array_contains("accepted", F.col("record_id"))
-    looked = members.groupBy("batch", "at").agg(F.count_if(F.col("std_value").isNull()).alias("lost"), F.bool_or(F.coalesce("quarantined", F.lit(False))).alias("held"), F.count_distinct(F.when(mine, F.col("std_value"))).alias("values"))
-    met = met.join(looked, ["batch", "at"], "left")
-    all_ = F.array_sort(F.array_distinct(F.concat("accepted", "rejected")))
-    error = (
-        F.when(_blank("group_id"), "group_missing")
-        .when(F.col("repeat"), "group_repeated")
-        .when(F.col("state").isNull(), "group_unknown")
-        .when(F.col("state") != "CONFLICT", "group_not_in_conflict")
-        .when(F.col("decided"), "group_already_decided")
+    members = F.col("group.members")
+    ids, all_ = F.transform(members, lambda m: m["record_id"]), F.array_distinct(F.concat("accepted", "rejected"))
+    values = F.transform(F.filter(members, lambda m: F.array_contains("accepted", m["record_id"])), lambda m: m["std_value"])
+    # all that an item alone tells comes before the sort, which so takes no arrays
+    alone = (
+        F.when(F.col("group.state").isNull(), "group_unknown")
+        .when(F.col("group.state") != "CONFLICT", "group_not_in_conflict")
+        .when(F.col("group.decided"), "group_already_decided")
         .when(~F.col("reason").isin(*REASONS), "reason_unknown")
         .when((F.col("reason") == "OTHER_WITH_NOTE") & (F.trim(F.coalesce("note", F.lit(""))) == ""), "note_missing")
         .when(F.size("accepted") == 0, "nothing_accepted")
         .when(F.arrays_overlap("accepted", "rejected"), "accepted_and_rejected")
-        .when(F.size(F.array_except(all_, F.col("members"))) > 0, "record_of_other_group")
-        .when(F.size(F.array_except(F.col("members"), all_)) > 0, "record_left_out")
-        .when(F.col("lost") > 0, "record_unknown")
-        .when(F.col("held"), "record_quarantined")
-        .when(F.col("values") > 1, "accepted_values_differ")
+        .when(F.size(F.array_except(all_, ids)) > 0, "record_of_other_group")
+        .when(F.size(F.array_except(ids, all_)) > 0, "record_left_out")
+        .when(F.exists(members, lambda m: m["std_value"].isNull()), "record_unknown")
+        .when(F.exists(members, lambda m: F.coalesce(m["quarantined"], F.lit(False))), "record_quarantined")
+        .when(F.size(F.array_distinct(values)) > 1, "accepted_values_differ")
     )
-    judged = met.select("batch", "at", "group_id", "accepted", "rejected", error.alias("error"))
-    return judged.withColumn("written", F.max(F.col("error").isNotNull()).over(Window.partitionBy("batch")) == F.lit(False))
+    judged = items.select("batch", "at", "group_id", "accepted", "rejected", alone.alias("alone"))
+    repeat = F.row_number().over(Window.partitionBy("batch", "group_id").orderBy("at")) > 1
+    error = F.when(_blank("group_id"), "group_missing").when(F.col("repeat"), "group_repeated").otherwise(F.col("alone"))
+    out = judged.withColumn("repeat", repeat).withColumn("error", error).drop("alone", "repeat")
+    return out.withColumn("written", F.max(F.col("error").isNotNull()).over(Window.partitionBy("batch")) == F.lit(False))
 
 
 def confirmed_records(candidates: DataFrame, records: DataFrame, decisions: DataFrame) -> DataFrame:

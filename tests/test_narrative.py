@@ -153,3 +153,9 @@ def test_section_issues(spark):
 def test_section_verdicts(spark):
     got = {tuple(r) for r in sx.verdicts(sx.section_parts(*section_tables(spark))).collect()}
     assert got == {(1, 3, 8, 4, False), (2, 1, 0, 0, False), (None, 0, 0, 0, True)}
+
+
+def test_decisions_meet_after_one_shuffle(spark):
+    from factmill.plans import registry
+
+    assert shuffles(registry.QUERIES["value_decisions"](spark, "/root/testdata/sf0.001")) == 1
